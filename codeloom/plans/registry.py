@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
+_MODULES = ("search", "graph", "stats", "changes")
+
+
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    for name in _MODULES:
+        importlib.import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
