@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-_MODULES = ("search", "graph", "stats", "changes", "texts", "rules")
+_MODULES = ("search", "graph", "stats", "changes", "texts", "rules", "styles", "events")
 
 
 def _load() -> None:

@@ -22,7 +22,7 @@ def ini_keys(files: DataFrame) -> DataFrame:
 def css_definitions(files: DataFrame) -> DataFrame:
     """(file_id, kind, name): classes, ids, variables and imports of style sheets."""
     found = lambda kind, rx: F.transform(F.regexp_extract_all("content", F.lit(rx), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    every = F.concat(found("class", r"\.(-?[_a-zA-Z][\w-]*)(?=[^{}]*\{)"), found("id", r"#([_a-zA-Z][\w-]*)(?=[^{};]*\{)"), found("variable", r"(--[\w-]+)\s*:"), found("import", "@import\\s+(?:url\\()?[\"']?([^\"')\\s;]+)"))
+    every = F.concat(found("class", r"\.(-?[_a-zA-Z][\w-]*)(?=[^{};]*\{)"), found("id", r"#([_a-zA-Z][\w-]*)(?=[^{};]*\{)"), found("variable", r"(--[\w-]+)\s*:"), found("import", "@import\\s+(?:url\\()?[\"']?([^\"')\\s;]+)"))
     return files.where("content is not null").select("file_id", F.explode(F.array_distinct(every)).alias("x")).select("file_id", "x.kind", "x.name")
 
 
