@@ -54,21 +54,33 @@ def first_to_last(df: DataFrame, group: list[str], ts: str, value: str) -> DataF
     return a.withColumn("reduction", F.round(F.when(F.col("first") == 0, 0.0).otherwise((F.col("first") - F.col("last")) / F.col("first") * 100), 6))
 
 
-def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their position `i` from 0 in the order of the given columns, and the number `n` of all rows.
+def _ranged(df: DataFrame, order: list[str], value: Column, name: str) -> tuple[DataFrame, int]:
+    """Rows with the running total of a value over the whole order, and the total.
 
-    The rows are range-sorted and numbered within each range; the ranges' sizes, one row per partition, give the offsets. So
-    no task sees more than its range, as a window without partitions would. Columns must tell all rows apart.
+    The rows are range-sorted and summed within each range; the ranges' sums, one row per partition, give the offsets. So no
+    task sees more than its range, as a window without partitions would. The order must tell all rows apart.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
-    sizes = {r["_p"]: r["k"] for r in ranged.groupBy("_p").agg(F.count("*").alias("k")).collect()}
-    total, at = sum(sizes.values()), {}
-    for p in sorted(sizes):
-        at[p] = sum(sizes[q] for q in sizes if q < p)
-    offsets = df.sparkSession.createDataFrame([(p, v) for p, v in at.items()], "_p int, _o bigint")
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    return local.join(offsets, "_p").withColumn("i", F.col("_i") + F.col("_o")).withColumn("n", F.lit(total).cast("bigint")).drop("_p", "_o", "_i")
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_v", value.cast("bigint")).checkpoint()
+    sums = {r["_p"]: r["s"] for r in ranged.groupBy("_p").agg(F.sum("_v").alias("s")).collect()}
+    at, total = [], 0
+    for p in sorted(sums):
+        at.append((p, total))
+        total += sums[p]
+    offsets = df.sparkSession.createDataFrame(at, "_p int, _o bigint")
+    local = ranged.withColumn("_c", F.sum("_v").over(Window.partitionBy("_p").orderBy(*order)))
+    return local.join(offsets, "_p").withColumn(name, F.col("_c") + F.col("_o")).drop("_p", "_v", "_c", "_o"), total
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Rows with the running total of a value, the row itself included, over the order of all rows; null values count 0."""
+    return _ranged(df, order, F.coalesce(value, F.lit(0)), name)[0]
+
+
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with their position `i` from 0 in the order of the given columns, and the number `n` of all rows."""
+    rows, total = _ranged(df, order, F.lit(1), "_i")
+    return rows.withColumn("i", F.col("_i") - 1).withColumn("n", F.lit(total).cast("bigint")).drop("_i")
 
 
 def quintiles(df: DataFrame, order: list[str]) -> DataFrame:
