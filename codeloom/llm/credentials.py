@@ -75,7 +75,7 @@ def name_kind(name: str) -> str | None:
         return None
     last, before = words[-1], words[-2] if len(words) > 1 else ""
     kind = None
-    if last in _STRONG or (last == "id" and False):
+    if last in _STRONG:
         kind = "strong"
     elif last in ("key", "keys") and before and before not in _NOT_A_SECRET_KEY:
         kind = "key"

@@ -256,9 +256,9 @@ def _js_type_one(c: Cursor) -> None:
 def _js_angle(c: Cursor) -> None:
     c.need("<")
     while not c.at(">"):
+        if c.at(_JS_WORDISH) and c.s[c.i + 1] == "x":  # a parameter with its bound
+            c.i += 2
         js_type(c)
-        if c.take("x"):
-            js_type(c)
         if c.take("="):
             js_type(c)
         if not c.take(","):
@@ -593,7 +593,6 @@ def js_statement(c: Cursor) -> None:
         if ch == "q":
             save = c.i
             c.skip()
-            c.take(";") if False else None
             if c.take("e"):
                 js_statement(c)
             else:
@@ -1081,10 +1080,7 @@ def _check(tree, level, segment, ts: bool, root: str = "file") -> bool:
         (s, children), role = todo.pop()
         roles = _roles(level, segment, ts, role, s)
         if roles is None:
-            if role == "paren":  # the parameters of an arrow function whose type could not be told
-                roles = _roles(level, segment, ts, "params", s) if False else None
-            if roles is None:
-                return False
+            return False
         for child, r in zip(children, roles):
             if not r:
                 return False

@@ -259,6 +259,7 @@ class _Yaml:
                 break
             if body == "?" or body.startswith("? "):
                 self.lines[self.i] = " " * (indent + 1) + body[1:]
+                seen.add("?")
                 self.node(indent)
                 continue
             if body.startswith(": ") and seen:
