@@ -51,6 +51,7 @@ _PLACEHOLDER = re.compile(
 _DUMMY = re.compile(r"change[-_ ]?me|replace[-_ ]?(?:me|this|with)|^todo\b|^fixme\b|^dummy|placeholder|^your[-_ ]|[-_ ]here$|^example|example[-_]?(?:key|token|password|secret)|^insert[-_ ]|^enter[-_ ]|^fake|^sample|^redacted|^masked|^hidden$|^none$|^null$|^nil$|^undefined$|^true$|^false$|^tbd$|^n/?a$|^(?:my|the|a)[-_ ](?:password|secret|token|key)|^foo(?:bar)?$|xxxx|\*{3,}|\.\.\.", re.I)
 _KNOWN = re.compile(r"^(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AKIA|ASIA|sk-|[srp]k_(?:live|test)_|vk\d_|npm_|pypi-|eyJ[A-Za-z0-9_-]{8,}\.|AIza|SG\.|ya29\.|hf_|dop_v1_|shpat_)")
 _NAMES = {"bearer", "basic", "digest", "x-api-key", "authorization", "password", "passwd", "pwd", "user_password", "token", "opaque", "secret", "api_key", "apikey", "string", "text", "required", "optional", "username", "admin", "root"}
+_PATH = re.compile(r"^(?:\.{0,2}|~)/[a-z0-9_.-]*(?:/[a-z0-9_.-]*)*$")
 _CODE_VALUE = re.compile(r"^[A-Za-z_][\w.]*\(.*|^[a-z_]+(?:\.[a-z_]+)+$")
 _COLON_NAME = re.compile(r"^[A-Za-z_]+(?:[:/.][A-Za-z_]+)+(?:[:/.]v\d+)?$")
 
@@ -99,7 +100,7 @@ def usable(value: str, kind: str) -> bool:
         except (binascii.Error, UnicodeDecodeError, ValueError):
             return False
         return len(v) >= 6 and not _DUMMY.search(v)
-    if any(c.isspace() for c in v) or v.startswith(("ssh-", "data:", "sha256-", "sha384-", "sha512-", "/", "./", "~/")) or _COLON_NAME.match(v) or _CODE_VALUE.match(v):
+    if any(c.isspace() for c in v) or v.startswith(("ssh-", "data:", "sha256-", "sha384-", "sha512-")) or _PATH.match(v) or _COLON_NAME.match(v) or _CODE_VALUE.match(v):
         return False
     if re.match(r"^(?:min|max)[-_](?:length|len)[-_]?\d+$", v, re.I) or re.fullmatch(r"[\d.,:+-]+", v) and kind != "strong":
         return False

@@ -31,6 +31,7 @@ def lines_of(text, path):
         (f'headers = {{"Authorization": "Bearer {KEY}"}}', "a.py", [1]),
         (f"# old login: app / password {PASS}", "a.py", [1]),
         (f'login("app", "{PASS}")', "a.py", [1]),
+        ('secret = "/mZLmF+EQN9q4QltJnBTDFeByfCe"\npassword = "/etc/keys/db1.pem"', "a.py", [1]),
         ("-----BEGIN RSA PRIVATE KEY-----\n" + "aB3dE5gH7jK9" * 6 + "\n-----END RSA PRIVATE KEY-----", "a.pem", [1]),
         ('password = "changeme"\ntoken = "<token>"\nsecret = "${SECRET}"\npwd = ""', "a.py", []),
         ('password = os.environ["PASSWORD"]\ntoken = vault.read("kv/x/token")', "a.py", []),
