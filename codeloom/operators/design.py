@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import style as S
-from .stats import mode_outliers as mode_outliers_of
 
 #: Rows a token table may have to be broadcast; a larger one is joined by ranges of its values.
 MOST_TOKENS = 10_000

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hashing as H, style as S
-from .design import declaration_key, focus_consistency, mode_outliers_of, nearest_colour, nearest_number
+from .design import declaration_key, focus_consistency, nearest_colour, nearest_number
+from .stats import mode_outliers
 
 
 def rule_sets(sheets: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def role_rules(styles: DataFrame) -> DataFrame:
     role = F.when(F.lower("selector").rlike("btn|button"), "BUTTON").when(F.lower("selector").rlike("input|field|select"), "INPUT").when(F.lower("selector").rlike("card|panel"), "CARD")
     r = styles.withColumn("role", role).where("role is not null")
     values = r.select("file_path", "line", "role", F.explode("declarations").alias("prop", "value"))
-    odd = mode_outliers_of(values, "role", "prop", "value")
+    odd = mode_outliers(values, "role", "prop", "value")
     where = values.join(odd.select("role", "prop", "value", "mode"), ["role", "prop", "value"])
     detail = F.concat_ws(" ", "prop", "value", F.concat(F.lit("others "), "mode"))
     out = where.select(F.concat(F.lit("ROLE.OUTLIER."), "role").alias("rule_id"), F.lit("WARN").alias("severity"), "file_path", F.col("line").cast("int").alias("line"), detail.alias("detail"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing as H
 from ..session import table
 from ..streaming import jobs as J
 from .graph import _E, _P, _entities, _files
