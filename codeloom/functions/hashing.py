@@ -24,15 +24,16 @@ def simhash_bits(features: str | Column) -> Column:
     """
     f = F.transform(_c(features), lambda x: F.struct(F.conv(F.substring(F.md5(x), 17, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring(F.md5(x), 25, 8), 16, 10).cast("bigint").alias("lo")))
 
-    def half(part: str) -> Column:
+    def half(fs: Column, part: str) -> Column:
         def bit(i: Column) -> Column:
-            votes = F.aggregate(f, F.lit(0).cast("bigint"), lambda acc, x: acc + F.getbit(x[part], i.cast("int")).cast("bigint") * 2 - 1)
+            votes = F.aggregate(fs, F.lit(0).cast("bigint"), lambda acc, x: acc + F.getbit(x[part], i.cast("int")).cast("bigint") * 2 - 1)
             return F.when(votes > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
         total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(31)), bit), F.lit(0).cast("bigint"), lambda a, b: a + b)
         return F.lpad(F.lower(F.hex(total)), 8, "0")
 
-    return F.concat(half("hi"), half("lo"))
+    # bound once as an array's element: the hashes would else be computed anew for every bit
+    return F.get(F.transform(F.array(f), lambda fs: F.concat(half(fs, "hi"), half(fs, "lo"))), 0)
 
 
 def hamming_similarity(a: str | Column, b: str | Column) -> Column:

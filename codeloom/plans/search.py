@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X, vector as V
 from ..operators import search as S
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 K, OVERFETCH = 10, 50
@@ -85,17 +85,17 @@ def _items(s, d):
 
 @query(_keyword_sql("idf * idf", "greatest(0, ln((n - df + 0.5) / (df + 0.5)))", K))
 def sparse_idf_topk(s, d):
-    return S.keyword_search(table(s, d, "documents"), _items(s, d), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return S.keyword_search(spread(table(s, d, "documents")), _items(s, d), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_keyword_sql("idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / avg_len))", "ln(1 + (n - df + 0.5) / (df + 0.5))", K))
 def bm25_topk(s, d):
-    return S.keyword_search(table(s, d, "documents"), _items(s, d), K, "bm25").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return S.keyword_search(spread(table(s, d, "documents")), _items(s, d), K, "bm25").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _hybrid(s, d, alpha, threshold=None):
     e = table(s, d, "embeddings")
-    docs = table(s, d, "documents")
+    docs = spread(table(s, d, "documents"))
     wanted = _items(s, d)
     # documents and vectors share their ids by convention
     q = e.join(wanted.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")

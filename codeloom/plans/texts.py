@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H, text as X
 from ..operators import chunking as K
-from ..session import table
+from ..session import spread, table
 from .graph import _E, _P, _entities, _files
 from .registry import query
 from .search import _TOKENS
@@ -26,7 +26,7 @@ def token_counts(s, d):
     h as (select doc_id, i // 32 as half, sum(case when v > 0 then pow(2, i % 32)::bigint else 0 end)::bigint as x from b group by all)
     select t.doc_id, coalesce(max(printf('%08x', x)) filter (half = 0), '00000000') || coalesce(max(printf('%08x', x)) filter (half = 1), '00000000') as simhash from t left join h using (doc_id) group by t.doc_id""")
 def simhash64(s, d):
-    return table(s, d, "documents").select("doc_id", H.simhash_bits(X.tokens("text")).alias("simhash"))
+    return spread(table(s, d, "documents")).select("doc_id", H.simhash_bits(X.tokens("text")).alias("simhash"))
 
 
 @query(f"""
