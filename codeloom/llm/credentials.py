@@ -22,14 +22,15 @@ from .common import arrow_rows
 
 MASK = "*"
 _LONG_LINE = 20_000
-#: A literal over more lines than this is a data blob.
-_MOST_PIECES = 8
 
 # One hit of these on a line makes the line a candidate; plain searches are far cheaper than one pattern.
 _STEMS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "credential", "login", "://", "curl", "mysql", "sshpass", "-u ", "--user")
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# quotes, joints and blanks around a piece of a literal; a plus beside none of them is base64
+_AROUND = re.compile(r"^(?:[\s,;()\\]|\+(?=[\s\"'`]|$))*[\"'`]*|[\"'`]*(?:[\s,;()\\]|(?<=[\s\"'`])\+)*$")
+_KEY_HEADER = re.compile(r"[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*: .*")
 _URL = re.compile(r"\b[a-z][a-z0-9+.\-]*://[^\s:/@'\"`<>{}]*:(?P<v>[^\s@'\"`]+)@(?=[\w\[])", re.I)
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -202,6 +203,30 @@ def _hits(text: str) -> list[int]:
     return sorted(out)
 
 
+def _is_key(body: str) -> bool:
+    """Whether what follows the BEGIN line is key material, quotes and joints of a literal aside."""
+    packed = re.sub(r"\\[nrt]|[\s\"'+\\]|,", "", body)
+    return len(packed) >= 32 and re.fullmatch(r"[A-Za-z0-9+/=:\-]+", packed) is not None and len(set(packed)) > 8
+
+
+def _key_lines(body: str) -> int:
+    """The offset after the last base64 line of a key block without its END: long lines, and a shorter one after them."""
+    width = stop = 0
+    for m in re.finditer(r"[^\n]+", re.sub(r"\\[nr]", "\n\n", body)):
+        line = _AROUND.sub("", m.group())
+        if not line or not width and _KEY_HEADER.fullmatch(line):
+            continue
+        if not re.fullmatch(r"[A-Za-z0-9+/=]+", line):
+            break
+        if len(line) >= 16 and (len(line) == width or not width or re.search("[A-Z]", line) and re.search("[a-z]", line) and re.search("[0-9]", line)):
+            stop, width = m.end(), len(line)
+            continue
+        if width and len(line) < width and re.search(r"[A-Z0-9+/=]", line):
+            stop = m.end()
+        break
+    return stop
+
+
 def find_spans(text: str | None, path: str | None) -> list[Span]:
     """All credentials of a file. A null text has none; the path only decides whether bare values can occur."""
     if not text:
@@ -213,11 +238,13 @@ def find_spans(text: str | None, path: str | None) -> list[Span]:
             found[start] = Span(start, pieces, kind)
 
     for m in _PRIVATE.finditer(text):
-        end = _PRIVATE_END.search(text, m.end())
-        stop = end.start() if end and end.start() - m.end() < 20_000 else min(len(text), m.end() + 4_000)
-        body = text[m.end() : stop]
-        packed = re.sub(r"\\[nrt]|[\s\"'+\\]|,", "", body)
-        if len(packed) >= 32 and re.fullmatch(r"[A-Za-z0-9+/=:\-]+", packed) and len(set(packed)) > 8:
+        following = _PRIVATE.search(text, m.end())
+        limit = following.start() if following else len(text)
+        end = _PRIVATE_END.search(text, m.end(), limit)
+        body = text[m.end() : end.start() if end else limit]
+        if end is None or not _is_key(body):  # no END, or one that belongs to something else
+            body = body[: _key_lines(body)]
+        if _is_key(body):
             pieces = tuple((m.end() + p.start(), m.end() + p.end()) for p in re.finditer(r"[A-Za-z0-9+/=]{4,}", re.sub(r"\\[nrt]", "  ", body)))
             add(m.start(), pieces, "private_key")
 
@@ -261,7 +288,7 @@ def find_spans(text: str | None, path: str | None) -> list[Span]:
                 continue
             got = read_value(text, begin + m.end())
             if got is not None:
-                if len(got[1]) <= _MOST_PIECES and usable(got[0], kind):
+                if usable(got[0], kind):
                     add(got[1][0][0], got[1], "assigned")
             elif bare and m["op"] in ("=", ":") and not _COMMENT.match(line[: m.start()] + " "):
                 v = re.match(r"[^\s#][^\n]*?(?=\s+#|\s*$)" if not path.endswith((".sh", ".bash")) else r"[^\s;#\"'$][^\s;]*", text[begin + m.end() : stop])
