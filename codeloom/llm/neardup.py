@@ -8,7 +8,8 @@ similarity reaches the bound: twice the common words over the sum of both number
 
 Equal word multisets are one class before anything is compared, so copies cost nothing. Document frequencies are counted
 over all classes in a hashed table of fixed size; that table (1 MB) is all that is broadcast. A band with very many
-texts is split by a second band, since near-duplicates agree on several.
+texts is cut into tiles, and every tile is compared with itself and with each later one, so that no pair with a
+common band is left out and no task holds more than two tiles of a band.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.components import connected_components
@@ -27,7 +28,7 @@ from .common import schema_of
 #: Slots of the hashed document-frequency table; the bound of what is broadcast.
 SLOTS = 1 << 18
 BANDS, ROWS = 24, 4
-#: Texts in a band beyond which it is split by a second band.
+#: Texts in a band beyond which it is cut into tiles of so many.
 HOT_BAND = 256
 
 #: A word and its count share a long: 56 bits of the word's hash, 8 bits of the count.
@@ -224,23 +225,31 @@ def frequencies(classes: DataFrame):
     return np.where(df <= 1, 1e-6, idf).astype(np.float64)
 
 
-def _band_pairs(keyed: DataFrame, ratio: float, most: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of rows (id, n) with a common `band`, and the rows of bands with more than `most` rows."""
+def _band_pairs(keyed: DataFrame, ratio: float, tile: int) -> DataFrame:
+    """Pairs (a, b) of rows (id, n) with a common `band`, a < b. A band of more than `tile` rows is cut into tiles by id."""
     shared = keyed.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where("size > 1")
-    cold = shared if most is None else shared.where(F.col("size") <= most)
-    x, y = cold.select("band", "id", "n"), cold.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"))
-    pairs = x.join(y, "band").where((F.col("id") < F.col("id2")) & (2 * F.least("n", "n2") >= ratio * (F.col("n") + F.col("n2"))))
-    hot = None if most is None else shared.where(F.col("size") > most).select("band", "id", "n")
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), hot
+
+    def close(x: str, y: str) -> Column:
+        return 2 * F.least(x, y) >= ratio * (F.col(x) + F.col(y))
+
+    cold = shared.where(F.col("size") <= tile)
+    y = cold.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    pairs = cold.select("band", "id", "n").join(y, "band").where((F.col("id") < F.col("id2")) & close("n", "n2"))
+    # a row is one of tile t of m, by its hash; it meets the tiles (i, t) with i <= t from one side and (t, j) with j >= t from the other
+    m = F.ceil(F.col("size") / tile).cast("int")
+    hot = shared.where(F.col("size") > tile).select("band", "id", "n", m.alias("m"), F.pmod(F.xxhash64("id"), m).cast("int").alias("t"))
+    left = hot.select("band", "id", "n", F.col("t").alias("i"), F.explode(F.sequence("t", F.col("m") - 1)).alias("j"))
+    right = hot.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("t").alias("j"), F.explode(F.sequence(F.lit(0), "t")).alias("i"))
+    tiles = left.join(right, ["band", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("id") < F.col("id2"))) & close("n", "n2"))
+    out = [x.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")) for x in (pairs, tiles)]
+    return out[0].union(out[1]).distinct()
 
 
 def class_pairs(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """(a, b, similarity) of all pairs of classes that reach the threshold, a < b."""
     weights = classes.sparkSession.sparkContext.broadcast(frequencies(classes))
     signed = classes.select("id", "n", "words").mapInArrow(_signer(weights, bands, rows, seed), _SIGN).checkpoint()
-    pairs, hot = _band_pairs(signed.select("id", "n", F.explode("bands").alias("band")), threshold, HOT_BAND)
-    split = hot.join(signed.select("id", F.explode("bands").alias("other")), "id").where("band <> other").select("id", "n", F.xxhash64("band", "other").alias("band"))
-    candidates = pairs.union(_band_pairs(split, threshold, None)[0]).distinct()
+    candidates = _band_pairs(signed.select("id", "n", F.explode("bands").alias("band")), threshold, HOT_BAND)
     c = classes.select("id", "n", "words")
     left = candidates.join(c.toDF("a", "na", "wa"), "a")
     both = left.join(c.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")

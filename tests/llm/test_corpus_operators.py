@@ -65,6 +65,29 @@ def test_a_hot_band_is_split(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in N.near_duplicate_pairs(df).collect()} == want
 
 
+def test_pairs_that_share_one_hot_band_are_kept(spark):
+    # every row has the hot band and one of its own, so no two agree on a second band
+    rows = [(i, 30 + i % 3, b) for i in range(23) for b in (7, 100 + i)] + [(50, 100, 7), (51, 30, 8), (52, 30, 8)]
+    keyed = spark.createDataFrame(rows, "id bigint, n int, band bigint")
+    want = {(i, j) for i, j in itertools.combinations(range(23), 2)} | {(51, 52)}
+    for tile in (2, 4, 5, 256):
+        got = [(r["a"], r["b"]) for r in N._band_pairs(keyed, 0.8, tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_hot_band_loses_no_pair(spark, monkeypatch):
+    r = random.Random(4)
+    base = [r.choice(WORDS) for _ in range(60)]
+    texts = [" ".join(edited(r, base, 5)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "entity_id bigint, content string")
+    classes = N.word_classes(df, "entity_id", "content", 25)[1]
+    # with a single band no two texts agree on a second one
+    run = lambda: {(x["a"], x["b"]) for x in N.class_pairs(classes, 0.8, bands=1, rows=2).collect()}
+    whole = run()
+    monkeypatch.setattr(N, "HOT_BAND", 3)
+    assert len(whole) > 20 and run() == whole
+
+
 def test_counts_share_a_word_with_their_hash():
     word, tf, owner = np.array([5 << 8, 9 << 8, 5 << 8]), np.array([1, 700, 255]), np.array([0, 0, 1])
     packed, own = N.pack_counts(word, tf, owner)
