@@ -12,6 +12,7 @@ both sides of the share.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +31,7 @@ _THIRD = re.compile(r"^\s*(?:#|//|/\*+!?|\*|;)?\s*(?:(?:bundled|vendored) copy o
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|;|--|<!--|\"\"\"|$)")
 _CODE_FILE = (".py", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".go", ".css", ".java", ".rb", ".php", ".c", ".h", ".cc", ".cpp", ".rs")
 _LITERAL = re.compile(r"(?P<c>//[^\n]*|/\*.*?\*/|(?m:^\s*#[^\n]*))|(?P<s>\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)|(?P<n>(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?))", re.S)
+_KEYWORD = re.compile(r"\b(?:def|function|func|class|return|while|if)\b")
 
 
 def _clean(path: str) -> str:
@@ -48,15 +50,39 @@ def package_of(path: str, head: list[str]) -> str | None:
     return re.sub(r"[-_.]?v?\d+(?:\.\d+)+$", "", name).lower().replace("_", "-").rstrip(".,;")
 
 
-def header(text: str, most: int = 12) -> list[str]:
-    """The comment lines at the top of a file, package clauses and shebangs passed over."""
-    out = []
-    for line in text[:4000].split("\n")[:most]:
-        if _COMMENT.match(line):
+def header(text: str) -> list[str]:
+    """The comment lines at the top of a file, however many, package clauses and shebangs passed over; lines inside a block
+    comment are given a star."""
+    return _header(text)[0]
+
+
+def _header(text: str) -> tuple[list[str], int]:
+    """The comment lines at the top, and the offset after them."""
+    out, at, closing = [], 0, None
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        if closing:
+            out.append(line if _COMMENT.match(line) else "* " + line.lstrip())
+            closing = None if closing in line else closing
+        elif _COMMENT.match(line):
             out.append(line)
+            m = re.match(r"\s*(/\*|<!--)", line)
+            end = {"/*": "*/", "<!--": "-->"}[m[1]] if m else None
+            closing = end if end and end not in line[m.end() :] else None
         elif not re.match(r"\s*(?:package \w+|['\"]use strict['\"];?|#!)", line):
             break
-    return out
+        at = stop + 1
+    return out, min(at, len(text))
+
+
+def content_name(text: str) -> str:
+    """A name for a package without one: the least hash of its lines of code, which copies share, edited or not."""
+    body = text[_header(text)[1] :] or text
+    lines = {x.strip() for x in body.split("\n")}
+    lines = {x for x in lines if len(x) >= LINE_CHARS} or lines
+    return "content-" + min(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() for x in lines)
 
 
 def composition(text: str, path: str) -> str | None:
@@ -73,8 +99,6 @@ def composition(text: str, path: str) -> str | None:
         spaces = sum(x.count(" ") + x.count("\t") for x in lines)
         if lines and code >= 200 and max(map(len, lines)) > 200 and code / len(lines) > 100 and spaces < 0.12 * code:
             return "minified"
-    if re.search(r"\b(?:def|function|func|class|return|while|if)\b", text[:1500]) and longest <= 200:
-        return None
     numbers = strings = 0
     rest: list[str] = []
     last = 0
@@ -88,6 +112,8 @@ def composition(text: str, path: str) -> str | None:
             if len(s) > 40 and not re.search(r"\s\w+\s", s):
                 strings += len(s)
     rest.append(text[last:])
+    if longest <= 200 and any(_KEYWORD.search(x) for x in rest):
+        return None
     words = len(re.findall(r"[A-Za-z_$][\w$]*", " ".join(rest)))
     if numbers >= 60 and words <= 6 + numbers * 0.05 or strings >= 400 and words <= 8 + strings / 400:
         return "data"
@@ -102,7 +128,7 @@ def classify(path: str | None, text: str | None) -> tuple[str | None, str | None
     head = header(text)
     package = package_of(path, head)
     if package is not None:
-        return "vendored", package or path.rsplit("/", 1)[0].lower()
+        return "vendored", package or content_name(text)
     if _LOCK.search(path) or '"lockfileVersion"' in text[:300] and '"packages"' in text[:1000]:
         return "lock", None
     if any(_MARK.match(line) for line in head) or _GENERATED_PATH.search(path):

@@ -242,3 +242,33 @@ def test_documentation_pairs(spark):
     assert got == {1: False, 4: False, 5: False, 7: True}
     assert {r["entity_id"] for r in D.documented(ents, files, inherit=False).collect()} == {1, 4, 5}
     assert D.documented(ents.where("false"), files).count() == 0
+
+
+def test_marks_below_a_long_licence_comment():
+    licence = [f"Licensed under the terms of section {i}; see the file for all of them." for i in range(90)]
+    mark = "Code generated by client-gen. DO NOT EDIT."
+    for lines in (["// " + x for x in licence] + ["", "// " + mark], ["/*", *licence, "*/", "", "// " + mark], ["/*", *licence, mark, "*/"]):
+        assert P.classify("pkg/a.go", "\n".join(lines) + "\n\npackage a\n\nfunc F() int { return 1 }\n")[0] == "generated"
+    third = "\n".join(["# " + x for x in licence] + ["# vendored from tinylib", "def f():", "    return 1"])
+    assert P.classify("lib/a.py", third) == ("vendored", "tinylib")
+    assert P.classify("lib/a.go", "package a\n\nfunc F() {}\n\n// " + mark) == (None, None)
+
+
+def test_keywords_count_outside_comments_only():
+    numbers = "DATA = [\n" + "".join(f"    {i}, {i + 1}, {i + 2},\n" for i in range(200)) + "]\n"
+    assert P.composition("# if a row is missing, return to the export\n" + numbers, "a.py") == "data"
+    assert P.composition(numbers, "a.py") == "data"
+    assert P.composition(numbers + "def f(x):\n    return DATA[x]\n", "a.py") is None
+
+
+def test_nameless_packages_are_named_by_content(spark):
+    notice = "// Released under the MIT license\n"
+    code = [f"const value_{i} = compute_the_value({i}, 'some option');" for i in range(40)]
+    rows = [(i, f"r{i}/lib/x{i}/a.js", notice + "\n".join(code)) for i in range(P.COMMON + 4)]
+    rows += [(100, "src/own.js", "\n".join(code[:38] + ["const something_else = other_call();"]))]
+    got = {r["file_id"]: (r["kind"], r["package"]) for r in P.provenance(spark.createDataFrame(rows, "file_id bigint, file_path string, content string")).collect()}
+    assert len({p for i, (_, p) in got.items() if i < 100}) == 1
+    assert got[100] == ("copied", got[0][1])
+    edited = notice + "\n".join(c for i, c in enumerate(code) if i % 9)
+    assert sum(P.content_name(notice + "\n".join(code[:k] + code[k + 1 :])) == P.content_name(notice + "\n".join(code)) for k in range(40)) == 39
+    assert P.content_name(edited).startswith("content-")
