@@ -69,18 +69,46 @@ def _finding(df: DataFrame, rule_id: str, severity: str, detail: Column, path: C
     return df.select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), (F.col("file_path") if path is None else path).alias("file_path"), (F.col("line") if line is None else line).cast("int").alias("line"), detail.cast("string").alias("detail"))
 
 
+def _near_sets(sets: DataFrame, least: float, tile: int = 512) -> DataFrame:
+    """(file_path, line, similarity) of all pairs of sets (h, file_path, line, s) whose SimHashes s agree on the least share
+    of bits, once a pair, at the set of lesser h.
+
+    Bands that guarantee 12 differing bits have 5 bits, which nearly all pairs share, so all are compared: the sets are cut
+    into tiles by their hash, and a task holds two of them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    tiles = sets.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile)).cast("int").alias("m"))
+    tiled = sets.crossJoin(F.broadcast(tiles)).withColumn("t", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
+    # a set of tile t takes part in the tasks (i, t) with i <= t and (t, j) with j > t
+    sent = tiled.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")))))
+
+    def compare(pdf):
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        x, y = pdf[pdf["t"] == i].reset_index(drop=True), pdf[pdf["t"] == j].reset_index(drop=True)
+        bits = lambda p: np.array([int(v, 16) for v in p["s"]], np.uint64)
+        same = 1 - np.bitwise_count(bits(x)[:, None] ^ bits(y)[None, :]) / 64.0
+        a, b = np.nonzero(same >= least)
+        ha, hb = x["h"].to_numpy()[a], y["h"].to_numpy()[b]
+        keep = ha < hb if i == j else np.ones(len(a), bool)
+        a, b, first = a[keep], b[keep], (ha < hb)[keep]
+        out = {c: np.where(first, x[c].to_numpy()[a], y[c].to_numpy()[b]) for c in ("file_path", "line")}
+        return pd.DataFrame({**out, "similarity": same[a, b]})
+
+    return sent.select("h", "file_path", "line", "s", "t", "p.i", "p.j").groupBy("i", "j").applyInPandas(compare, "file_path string, line int, similarity double")
+
+
 def duplicate_rules(styles: DataFrame) -> DataFrame:
-    """STYLE.DUPLICATE_SET and STYLE.NEAR_DUPLICATE_SET: equal declaration sets, and sets of the same selector-independent
-    names whose features share one of four 16-bit bands of their SimHash and agree on at least 0.8 of the bits."""
+    """STYLE.DUPLICATE_SET and STYLE.NEAR_DUPLICATE_SET: equal declaration sets, and all pairs of distinct sets of the same
+    selector-independent names whose SimHashes agree on at least 0.8 of the bits."""
     key = declaration_key("declarations")
     keyed = styles.where(F.size("declarations") >= 2).select("file_path", "line", "selector", key.alias("k"), F.sha2(key, 256).alias("h"), F.split(key, ";").alias("features"))
     groups = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("file_path", "line")).alias("first"))
     exact = _finding(groups.where("n >= 2"), "STYLE.DUPLICATE_SET", "WARN", F.concat_ws(" ", "n", F.lit("equal sets")), F.col("first.file_path"), F.col("first.line"))
     one = keyed.groupBy("h").agg(F.min_by(F.struct("file_path", "line", "features"), F.struct("file_path", "line")).alias("x")).select("h", "x.*").withColumn("s", H.simhash_bits("features"))
-    bands = one.select("h", "file_path", "line", "s", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring(F.col("s"), i * 4 + 1, F.lit(4)))).alias("b", "v"))
-    other = bands.select("b", "v", F.col("h").alias("h2"), F.col("s").alias("s2"))
-    near = bands.join(other, ["b", "v"]).where((F.col("h") < F.col("h2")) & (H.hamming_similarity("s", "s2") >= 0.8)).dropDuplicates(["h", "h2"])
-    return exact.unionByName(_finding(near, "STYLE.NEAR_DUPLICATE_SET", "WARN", F.round(H.hamming_similarity("s", "s2"), 4)))
+    near = _near_sets(one.select("h", "file_path", "line", "s"), 0.8)
+    return exact.unionByName(_finding(near, "STYLE.NEAR_DUPLICATE_SET", "WARN", F.round("similarity", 4)))
 
 
 def sequence_rules(comps: DataFrame) -> DataFrame:

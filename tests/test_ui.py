@@ -59,3 +59,31 @@ def test_tasks_and_targets(spark):
     assert {(r["scope"], r["tag"]): (r["n"], r["impact"], r["ids"]) for r in U.merge_tasks(t).collect()}["s", "x"] == (2, 0.9, "1,2")
     e = spark.createDataFrame([("b", 40.0, 50.0), ("b", 44.0, 44.0), ("b", None, None)], "role string, width double, height double")
     assert [(r["n"], r["n_small"]) for r in U.tap_targets(e).collect()] == [(3, 1)]
+
+
+def test_near_sets_like_brute_force(spark):
+    # up to 13 differing bits, spread so that all 16-bit quarters differ from 4 on
+    base = 0x0123456789ABCDEF
+    flips = [sum(1 << (16 * (k % 4) + 3 * (k // 4)) for k in range(n)) for n in range(14)]
+    values = [base ^ f for f in flips] + [base ^ (f << 1) for f in flips[5:]] + [base ^ 0xFFFFFFFFFFFFFFFF]
+    rows = [(f"{(i * 7919) % 1000:03d}", f"f{i}.css", i, f"{v:016x}") for i, v in enumerate(values)]
+    want = sorted((min(a, b)[1], 1 - bin(int(a[3], 16) ^ int(b[3], 16)).count("1") / 64) for n, a in enumerate(rows) for b in rows[:n] if bin(int(a[3], 16) ^ int(b[3], 16)).count("1") <= 12)
+    df = spark.createDataFrame(rows, "h string, file_path string, line int, s string")
+    for tile in (3, 512):
+        assert sorted((r["file_path"], r["similarity"]) for r in U._near_sets(df, 0.8, tile).collect()) == want
+    assert U._near_sets(df.where("false"), 0.8).count() == 0
+
+
+def test_near_duplicate_sets_far_apart_are_reported(spark):
+    """Every pair of sets within 12 bits, also where no quarter of the hash is equal."""
+    from codeloom.functions import hashing as H
+
+    css = [";".join(f"p{j}: {j if j != i else 'x'}px" for j in range(7)) for i in range(24)]
+    sheets = spark.createDataFrame([("a.css", "\n".join(f".c{i} {{ {c} }}" for i, c in enumerate(css)))], "file_path string, content string")
+    styles = U.rule_sets(sheets)
+    keys = styles.select(U.declaration_key("declarations").alias("k")).distinct().select(H.simhash_bits(F.split("k", ";")).alias("s"))
+    bits = [int(r["s"], 16) for r in keys.collect()]
+    pairs = [bin(a ^ b).count("1") for n, a in enumerate(bits) for b in bits[:n]]
+    quarters = lambda a, b: any((a ^ b) >> 16 * q & 0xFFFF == 0 for q in range(4))
+    assert any(bin(a ^ b).count("1") <= 12 and not quarters(a, b) for n, a in enumerate(bits) for b in bits[:n])
+    assert U.duplicate_rules(styles).where("rule_id = 'STYLE.NEAR_DUPLICATE_SET'").count() == sum(d <= 12 for d in pairs)
