@@ -3,8 +3,10 @@
 Method: two symbol tables are built across all files. Declarations with their documentation come from the entities
 themselves (Python docstrings) and from the files (comment blocks that end on the line above a declaration); they are
 joined on file and line. A definition without documentation of its own takes that of a documented declaration of the
-same qualified name in its repository whose normalised signature agrees (an overload, an interface or a stub), and
-such rows are marked as inherited. Pairs with trivial documentation are dropped.
+same name in the same class (by the lines of the classes in its file, or the Go receiver) of its repository whose
+normalised signature agrees (an overload, an interface or a stub), and such rows are marked as inherited. One of the same
+module comes first; one of another module counts only if all of them say the same. Pairs with trivial documentation
+are dropped.
 
 Only comment blocks travel between the two sides, never whole files.
 """
@@ -15,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, code_entities
+from .common import arrow_rows, code_entities, entity_kind
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|[^\W\d_]+")
@@ -93,13 +95,61 @@ def language(path: str | None, code: str | None) -> str:
     return "go" if p.endswith(".go") or re.match(r"\s*func\b", code or "") else "js"
 
 
+_RECEIVER = re.compile(r"\s*func\s*\(\s*(?:\w+\s+)?\*?\s*(?P<type>\w+)(?:\[[^\]]*\])?\s*\)")
+_SKIP_OTHER = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[()\[\]{},]""", re.S)
+_SKIP_PYTHON = re.compile(_SKIP.pattern.replace("{}:]", "{},]"), re.S)
+
+
+def receiver(code: str | None) -> str:
+    """The type a Go method belongs to; empty for everything else."""
+    m = _RECEIVER.match(code or "")
+    return m["type"] if m else ""
+
+
+def module(path: str | None) -> str | None:
+    """The module of a file: the folder in Go, else the path without its extension, so that a stub has that of its source."""
+    if path is None:
+        return None
+    p = path[2:] if path.startswith("./") else path
+    return p.rpartition("/")[0] + "/" if p.endswith(".go") else re.sub(r"(?:\.d)?\.\w+$", "", p)
+
+
 def signature(code: str | None) -> str:
     """The parameter names of a declaration, without types, defaults and blanks."""
-    m = re.search(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)", (code or "")[:2000])
-    if m is None:
+    text = code or ""
+    m = _RECEIVER.match(text)
+    skip = _SKIP_PYTHON if _PYTHON.match(text) else _SKIP_OTHER
+    start = text.find("(", m.end() if m else 0)
+    if start < 0:
         return ""
-    names = [re.match(r"\s*(?:\.\.\.|\*{0,2})\s*([\w$]*)", x)[1] for x in m[1].split(",")]
-    return ",".join(x for x in names if x and x not in ("self", "cls"))
+    depth, parts, part, last = 0, [], [], start + 1
+    for t in skip.finditer(text, start):
+        c = t.group()
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c[0] == "#" or c.startswith(("//", "/*")):
+            part.append(text[last : t.start()])
+            last = t.end()
+        if depth == 0 or c == "," and depth == 1:
+            parts.append("".join(part) + text[last : t.start()])
+            part, last = [], t.end()
+            if depth == 0:
+                break
+    names = [re.match(r"\s*(?:\.\.\.|\*{0,2})\s*([\w$]*)", x)[1] or re.sub(r"\s+", "", x) for x in parts]
+    return ",".join(x for x in names if x and x not in ("self", "cls", "*", "/"))
+
+
+def enclosing(entities: DataFrame) -> DataFrame:
+    """(entity_id, owner) of the functions and methods inside classes: the classes' names, from the outermost to the innermost."""
+    last = F.col("start_line") + F.length(F.regexp_replace(F.rtrim("content"), r"[^\n]", ""))
+    if "end_line" in entities.columns:
+        last = F.coalesce("end_line", last)
+    classes = entities.where(entity_kind("entity_type") == "class").select("file_id", "name", F.col("start_line").alias("first"), last.alias("last")).distinct()
+    code = code_entities(entities).select("file_id", "entity_id", "start_line").distinct()
+    inside = code.join(classes, "file_id").where("start_line > first and start_line <= last")
+    return inside.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.negative("last").alias("last"), "name"))), lambda x: x["name"]), ".").alias("owner"))
 
 
 def documented(entities: DataFrame, files: DataFrame, fewest: int = 4, inherit: bool = True) -> DataFrame:
@@ -127,7 +177,12 @@ def documented(entities: DataFrame, files: DataFrame, fewest: int = 4, inherit:
     direct = every.where(F.col("words") >= fewest).select("entity_id", "repo", "name", F.col("doc").alias("description"), F.lit(False).alias("inherited"), "code", "sig")
     if not inherit:
         return direct.drop("sig")
-    table = direct.groupBy("repo", "name", "sig").agg(F.min_by("description", "entity_id").alias("description"))
-    bare = every.where((F.col("words") < fewest) & F.col("doc").isNull()).select(*keep)
-    taken = bare.join(table, ["repo", "name", "sig"]).select("entity_id", "repo", "name", "description", F.lit(True).alias("inherited"), "code")
-    return direct.drop("sig").unionByName(taken)
+    places = arrow_rows(code, ["entity_id", "file_path", "content"], "entity_id bigint, module string, receiver string", lambda k, p, c: [(k, module(p), receiver(c) if language(p, c) == "go" else "")])
+    places = places.join(enclosing(entities), "entity_id", "left").select("entity_id", "module", F.coalesce("owner", "receiver").alias("owner"))
+    by = ["repo", "owner", "name", "sig"]
+    named = direct.join(places, "entity_id")
+    near = named.groupBy(*by, "module").agg(F.min_by("description", "entity_id").alias("near"))
+    far = named.groupBy(*by).agg(F.min("description").alias("far"), F.max("description").alias("other")).where("far = other").drop("other")
+    bare = every.where((F.col("words") < fewest) & F.col("doc").isNull()).select(*keep).join(places, "entity_id")
+    found = bare.join(near, [*by, "module"], "left").join(far, by, "left").withColumn("description", F.coalesce("near", "far")).where("description is not null")
+    return direct.drop("sig").unionByName(found.select("entity_id", "repo", "name", "description", F.lit(True).alias("inherited"), "code"))

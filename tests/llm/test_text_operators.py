@@ -272,3 +272,27 @@ def test_nameless_packages_are_named_by_content(spark):
     edited = notice + "\n".join(c for i, c in enumerate(code) if i % 9)
     assert sum(P.content_name(notice + "\n".join(code[:k] + code[k + 1 :])) == P.content_name(notice + "\n".join(code)) for k in range(40)) == 39
     assert P.content_name(edited).startswith("content-")
+
+
+def test_signatures_are_read_whole():
+    long = ", ".join(f"parameter_number_{i}: int = {i}" for i in range(120))
+    assert D.signature(f"def f(self, {long}):\n    pass").count(",") == 119
+    assert D.signature("func (s *Store[K]) Get(key string, n int) (int, error) {") == "key,n"
+    assert D.signature("def f(a: dict[str, int] = {1: 2}, b=')', *, c=g(1, (2, 3))):  # x") == "a,b,c"
+    assert D.signature("function f() { return g(x) }") == "" and D.signature("x = 1") == "" and D.signature(None) == ""
+
+
+def test_documentation_is_inherited_within_a_class(spark):
+    doc = '"' * 3 + "Looks up what was stored under {}." + '"' * 3
+    rows = [
+        (1, 1, "class", "A", "a.py", 1, 5, "class A:\n"), (2, 1, "class", "B", "a.py", 7, 12, "class B:\n"), (3, 2, "class", "A", "./a.pyi", 1, 9, "class A:\n"),
+        (10, 1, "method", "get", "a.py", 3, 4, "    def get(self, key):\n        " + doc.format("this key")),
+        (11, 1, "method", "get", "a.py", 9, 10, "    def get(self, key):\n        pass"),
+        (12, 2, "method", "get", "./a.pyi", 4, 5, "    def get(self, key): ..."),
+        (20, 3, "function", "run", "b.py", 1, 2, "def run(x):\n    " + doc.format("the first")), (21, 4, "function", "run", "c.py", 1, 2, "def run(x):\n    " + doc.format("the second")),
+        (22, 5, "function", "run", "d.py", 1, 2, "def run(x):\n    pass"), (23, 6, "function", "run", "b.pyi", 1, 1, "def run(x): ..."),
+    ]
+    ents = spark.createDataFrame([(k, f, "r", n, t, p, a, e, c) for k, f, t, n, p, a, e, c in rows], "entity_id bigint, file_id bigint, repo string, name string, entity_type string, file_path string, start_line int, end_line int, content string")
+    files = spark.createDataFrame([], "file_id bigint, file_path string, content string")
+    got = {r["entity_id"]: r["description"] for r in D.documented(ents, files).where("inherited").collect()}
+    assert got == {12: "Looks up what was stored under this key.", 23: "Looks up what was stored under the first."}
