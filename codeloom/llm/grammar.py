@@ -91,9 +91,11 @@ _JS_ONE = re.compile(
     r"[$_A-Za-zª-￿#][$\w]*|\d(?:[eE][+-](?=\d)|[\w.])*|\.\d(?:[eE][+-](?=\d)|[\w.])*|\.\.\.|\??\.[ \t]*#?[$_A-Za-zª-￿][$\w]*|\?\.|=>|\+\+|--|>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|[+\-*/%&|^]=|===|!==|==|!=|<=|>=(?!=)|\*\*|&&|\|\||\?\?"
 )
 _NUMBER = re.compile(r"0[xX][\da-fA-F](?:_?[\da-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?|\d+n")
+# a regular expression where an operand is due
+JS_REGEX = r"/(?:(?<=[(,=:\[!&|?{};\n+\-*%~^>]/)|(?<=[(,=:\[!&|?{};\n+\-*%~^>]\s/)|(?<=return /)|(?<=typeof /)|(?<=case /))(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 # comments, strings, templates, regular expressions where an operand is due, and openings without an end
 _JS_TEXT = re.compile(
-    r"""//[^\n]*|/\*.*?\*/|/\*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*`|/(?:(?<=[(,=:\[!&|?{};\n+\-*%~^>]/)|(?<=[(,=:\[!&|?{};\n+\-*%~^>]\s/)|(?<=return /)|(?<=typeof /)|(?<=case /))(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|"|'|`""",
+    r"""//[^\n]*|/\*.*?\*/|/\*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*`|""" + JS_REGEX + r"""|"|'|`""",
     re.S,
 )
 
@@ -116,6 +118,50 @@ def _js_text(m: re.Match) -> str:
     return STR
 
 
+_JS_BRACES = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|""" + JS_REGEX + r"""|(?P<sign>[{}`])""", re.S)
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+
+
+def _plain_templates(text: str) -> str | None:
+    """The text with templates whose expressions hold braces or templates replaced by strings; None if such an expression is none."""
+    out, last, i, begin = [], 0, 0, 0
+    open_: list[list[int]] = []  # for each template that is open: where its expression begins, and the depth of braces in it
+    nested = False
+    while True:
+        m = _JS_BRACES.search(text, i)
+        while m is not None and m["sign"] is None or m is not None and m["sign"] != "`" and not open_:
+            m = _JS_BRACES.search(text, m.end())
+        if m is None:
+            return "".join(out) + text[last:]
+        i = m.end()
+        if m["sign"] == "{":
+            open_[-1][1] += 1
+            nested = True
+            continue
+        if m["sign"] == "}" and open_[-1][1]:
+            open_[-1][1] -= 1
+            continue
+        if m["sign"] == "}":  # the end of an expression
+            at = open_.pop()[0]
+            if not open_ and nested and not _expression_ok(text[at : m.start()]):
+                return None
+        elif not open_:
+            begin, nested = m.start(), False
+        else:
+            nested = True
+        i = _TEMPLATE_TEXT.match(text, i).end()
+        if i >= len(text) or text[i] == "\\":
+            return "".join(out) + text[last:]
+        if text.startswith("${", i):
+            open_.append([i + 2, 0])
+            i += 2
+            continue
+        i += 1
+        if not open_ and nested:
+            out += [text[last:begin], '""']
+            last = i
+
+
 @lru_cache(maxsize=20_000)
 def _expression_ok(code: str) -> bool:
     return check_js("(" + code + ")", False)
@@ -154,6 +200,8 @@ def lex_js(text: str) -> str | None:
         text = "//" + text[2:]
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "${" in text and (text := _plain_templates(text)) is None:
+        return None
     s = _JS_ONE.sub(_js_token, _PLAIN_NAME.sub("i", _JS_TEXT.sub(_js_text, text)))
     for old, new in _JS_PLAIN:
         if old in s:

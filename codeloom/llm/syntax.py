@@ -1,14 +1,16 @@
 """Source files that do not parse (problem 5).
 
-Method: a file is cut into chunks; a chunk is summarised by a map from each lexer state in which it may begin to the state
-in which it ends and the brackets it leaves open or closes (`chunk_summary`). Such summaries form a monoid (`combine`),
-so a file's chunks reduce in any grouping; a file whose reduced summary ends inside a string or comment, or with unpaired
-brackets, does not parse. What is balanced is then decided statement by statement by local grammars: own grammars for
-JavaScript, TypeScript, Go and YAML (module grammar), and the interpreter's own parser for Python and for strict JSON.
-
-A row holds its whole text, so a file's chunks lie in one task and the reduction starts there; texts beyond
-`inline_chars` are spread over the cluster chunk by chunk and reduced by an aggregation on the file first, which
-settles the unbalanced ones before the grammar sees them. Both ways give the same verdict.
+Method: every file, of any size and language, is cut into chunks at line starts. A chunk is summarised by a map from each
+lexer state in which it may begin to the state in which it ends and the brackets it leaves open or closes
+(`chunk_summary`). Such summaries form a monoid (`combine`), so a file's chunks reduce in any grouping; a file whose
+summary ends inside a string or comment, or with unpaired brackets, does not parse. Where the summary of the chunks so far
+leaves nothing open, a balanced run of statements ends, and each run is decided by a local grammar: own grammars for
+JavaScript, TypeScript, Go and YAML (module grammar), the interpreter's own parser for Python and for strict JSON.
+
+A row holds its whole text, so a file's chunks lie in one task and their summaries are combined there, before any
+exchange; only (key, verdict) rows are shuffled. What a chunk alone cannot tell (a replacement field of an f-string
+with quotes in it, a brace that may end a template's expression) makes its summary `unsure`, which absorbs like an error
+does, and the grammar then reads the file as one run.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import warnings
 from functools import reduce
 
@@ -23,104 +26,217 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import spread
 from .common import arrow_rows
-from .grammar import check_go, check_js
+from .grammar import JS_REGEX, check_go, check_js
 
 EXTENSIONS = (".py", ".js", ".ts", ".go", ".json", ".yaml")
-CHUNK_CHARS = 65_536
-INLINE_CHARS = 1_048_576
+CHUNK_CHARS = 8_192
 
 # ---------------------------------------------------------------- lexer-state maps
 
-#: States in which a chunk can begin: code, comments, and strings by their quote.
-STATES = {"js": ("code", "line", "block", '"', "'", "`"), "go": ("code", "line", "block", '"', "'", "`"), "py": ("code", "line", '"', "'", '"""', "'''")}
-_OPEN = {"js": re.compile(r"//|/\*|[\"'`(){}\[\]]"), "go": re.compile(r"//|/\*|[\"'`(){}\[\]]"), "py": re.compile(r"#|\"\"\"|'''|[\"'(){}\[\]]")}
-_PAIR = {")": "(", "]": "[", "}": "{"}
+#: States in which a chunk can begin: code, comments over lines, and strings by their quote.
+STATES = {"js": ("code", "block", '"', "'", "`"), "go": ("code", "block", "`"), "py": ("code", '"', "'", '"""', "'''"), "json": ("code",), "yaml": ("code",)}
+_DOUBLE, _SINGLE = r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'"
+_RUNE = r"'(?:[^'\\\n]|\\[^\n]+?)'"
+# literals and comments that end within the chunk, then the openings of those that do not
+_TOKEN = {
+    "js": re.compile(rf"//[^\n]*|/\*.*?\*/|{_DOUBLE}|{_SINGLE}|{JS_REGEX}|(?P<open>/\*|[\"'`])", re.S),
+    "go": re.compile(rf"//[^\n]*|/\*.*?\*/|{_DOUBLE}|{_RUNE}|`[^`]*`|(?P<open>/\*|[\"'`])", re.S),
+    "py": re.compile(rf"#[^\n]*|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|(?!\"\"\"|''')(?:{_DOUBLE}|{_SINGLE})|(?P<open>\"\"\"|'''|[\"'])", re.S),
+    "json": re.compile(rf"{_DOUBLE}|(?P<open>\")", re.S),
+}
+_TOKEN_BRACES = re.compile(_TOKEN["js"].pattern + r"|(?P<brace>[{}])", re.S)
+#: An expression in a template is opened and closed by signs of its own.
+_EXPR, _ENDEXPR = "\x01", "\x02"
+_OTHER = re.compile(r"[^()\[\]{}\x01\x02]+")
+_MISPAIRED = re.compile(r"[(\[{\x01][)\]}\x02]")
+_TO_CLOSE = str.maketrans("([{\x01", ")]}\x02")
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_F_PREFIX = re.compile(r"(?:^|[^\w])(?:[fF][rR]?|[rR][fF])$")
+
+
+def _normal(code: str) -> tuple[str, str, bool]:
+    """Brackets left over by code without literals: those that close, those that open, and whether all others pair."""
+    s = _OTHER.sub("", code)
+    for _ in range(64):  # the innermost pairs, level by level
+        t = s.replace("()", "").replace("[]", "").replace("{}", "").replace(_EXPR + _ENDEXPR, "")
+        if len(t) == len(s):
+            break
+        s = t
+    else:  # deeper still: one by one
+        left: list[str] = []
+        for c in s:
+            if left and left[-1].translate(_TO_CLOSE) == c and c in ")]}" + _ENDEXPR:
+                left.pop()
+            else:
+                left.append(c)
+        s = "".join(left)
+    at = next((i for i, c in enumerate(s) if c in "([{" + _EXPR), len(s))
+    return s[:at], s[at:], not _MISPAIRED.search(s)
+
+
+def _rest(lang: str, quote: str, text: str, i: int) -> int | None:
+    """The offset after the end of a literal or comment that has begun before an offset; -1 if it goes on, None if it cannot."""
+    if quote == "block":
+        j = text.find("*/", i)
+        return j + 2 if j >= 0 else -1
+    if quote == "`" and lang == "go":
+        j = text.find("`", i)
+        return j + 1 if j >= 0 else -1
+    j = i
+    while True:
+        if len(quote) == 1:
+            m = re.compile(rf"(?:[^{quote}\\\n]|\\.)*", re.S).match(text, j)
+            j = m.end()
+            if j >= len(text):
+                return -1
+            return j + 1 if text[j] == quote else None
+        m = re.compile(rf"(?:[^{quote[0]}\\]|\\.)*", re.S).match(text, j)
+        j = m.end()
+        if j >= len(text):
+            return -1
+        if text.startswith(quote, j):
+            return j + 3
+        j += 1
 
 
 def _run(lang: str, text: str, state: str) -> tuple[str, str, str]:
     """From one state over a chunk: the end state, the closing brackets left over, and the opening ones."""
-    closed, opened, i, n = [], [], 0, len(text)
-    while i < n:
-        if state == "code":
-            m = _OPEN[lang].search(text, i)
-            if m is None:
+    if lang == "yaml":
+        return "code", "", ""
+    code: list[str] = []
+
+    def stop(end: str) -> tuple[str, str, str]:
+        closed, opened, paired = _normal("".join(code))
+        return ("error", closed, "") if not paired else (end, closed, "" if end in ("error", "unsure") else opened)
+
+    i, n, exprs = 0, len(text), []  # exprs: depth of braces in each template expression that is open
+    while True:
+        if state == "`" and lang == "js":
+            i = _TEMPLATE.match(text, i).end()
+            if i >= n:
+                break
+            if text[i] == "`":
+                state, i = "code", i + 1
+            elif text.startswith("${", i):
+                code.append(_EXPR)
+                exprs.append(0)
+                state, i = "code", i + 2
+            else:  # a backslash ends the chunk
+                break
+            continue
+        if state != "code":
+            j = _rest(lang, state, text, i)
+            if j is None:
+                return stop("error")
+            if j < 0:
                 break
-            t, i = m.group(), m.end()
-            if t in "([{":
-                opened.append(t)
-            elif t in ")]}":
-                if opened and opened[-1] == _PAIR[t]:
-                    opened.pop()
-                elif opened:
-                    return "error", "", ""
+            state, i = "code", j
+        rx = _TOKEN_BRACES if exprs else _TOKEN[lang]
+        last = i
+        for m in rx.finditer(text, i):
+            code.append(text[last : m.start()])
+            last = m.end()
+            if m.lastgroup is None:
+                if lang == "py" and text[m.start()] in "\"'" and _F_PREFIX.search(text, max(0, m.start() - 3), m.start()):
+                    if m.group().count("{") != m.group().count("}"):
+                        return stop("unsure")
+                continue
+            if m.lastgroup == "brace":
+                if m.group() == "{":
+                    exprs[-1] += 1
+                elif exprs[-1]:
+                    exprs[-1] -= 1
                 else:
-                    closed.append(t)
-            else:
-                state = {"//": "line", "#": "line", "/*": "block"}.get(t, t)
-        elif state == "line":
-            i = text.find("\n", i)
-            if i < 0:
-                return state, "".join(closed), "".join(opened)
-            state = "code"
-        elif state == "block":
-            i = text.find("*/", i)
-            if i < 0:
-                return state, "".join(closed), "".join(opened)
-            i, state = i + 2, "code"
+                    exprs.pop()
+                    code.append(_ENDEXPR)
+                    state, i = "`", m.end()
+                    break
+                code.append(m.group())
+                continue
+            t = m.group()
+            if lang == "py" and _F_PREFIX.search(text, max(0, m.start() - 3), m.start()):
+                return stop("unsure")
+            if lang == "go" and t == "'":
+                return stop("error")
+            state, i = {"/*": "block"}.get(t, t), m.end()
+            break
         else:
-            j = i
-            while j < n and not text.startswith(state, j):
-                if text[j] == "\\" and not (lang == "go" and state == "`"):
-                    j += 1
-                elif text[j] == "\n" and len(state) == 1 and state != "`":
-                    return "error", "", ""
-                j += 1
-            if j >= n:
-                return state, "".join(closed), "".join(opened)
-            i, state = j + len(state), "code"
-    return state, "".join(closed), "".join(opened)
+            code.append(text[last:])
+            break
+    return stop(state)
 
 
 def chunk_summary(lang: str, text: str, first: bool) -> dict[str, tuple[str, str, str]]:
-    """The lexer-state map of a chunk; a file's first chunk can only begin in code."""
-    return {s: _run(lang, text, s) for s in (("code",) if first else STATES[lang])}
+    """The lexer-state map of a chunk; a file's first chunk can only begin in code, any other begins a line."""
+    return {s: _run(lang, text if first or s != "code" else "\n" + text, s) for s in (("code",) if first else STATES[lang])}
 
 
 def combine(a: dict[str, tuple[str, str, str]], b: dict[str, tuple[str, str, str]]) -> dict[str, tuple[str, str, str]]:
-    """The map of two neighbouring chunks. Associative; `error` absorbs."""
-    out = {}
-    for s, (mid, closed, opened) in a.items():
-        if mid == "error" or mid not in b:
-            out[s] = ("error", "", "")
-            continue
-        end, closed2, opened2 = b[mid]
-        rest = opened
-        for c in closed2:
-            if rest and rest[-1] == _PAIR[c]:
-                rest = rest[:-1]
-            elif rest:
-                end = "error"
-                break
-            else:
-                closed += c
-        out[s] = (end, closed, rest + opened2) if end != "error" else ("error", "", "")
-    return out
-
-
-def cut_points(text: str, size: int) -> list[str]:
-    """Chunks of about a size, cut after line ends so that no token but a long one spans two of them."""
+    """The map of two neighbouring chunks. Associative; the first of `error` and `unsure` absorbs, and keeps the closing brackets before it."""
+    return {s: _then(r, b) for s, r in a.items()}
+
+
+def _then(r: tuple[str, str, str], b: dict[str, tuple[str, str, str]]) -> tuple[str, str, str]:
+    mid, closed, opened = r
+    if mid in ("error", "unsure"):
+        return r
+    if mid not in b:
+        return "error", closed, ""
+    end, closed2, opened2 = b[mid]
+    k = min(len(opened), len(closed2))
+    want = opened[len(opened) - k :][::-1].translate(_TO_CLOSE)
+    if want != closed2[:k]:
+        # a brace that closes a template's expression: the chunk was read as code where it is text
+        at = next(i for i in range(k) if want[i] != closed2[i])
+        return "unsure" if want[at] == _ENDEXPR and closed2[at] == "}" else "error", closed, ""
+    closed += closed2[k:]
+    return (end, closed, "") if end in ("error", "unsure") else (end, closed, opened[: len(opened) - k] + opened2)
+
+
+_WORD_START = {
+    "py": re.compile(r"\n\n(?=[A-Za-z_@])(?!(?:else|elif|except|finally|case)\b)"),
+    "js": re.compile(r"[;}][ \t]*\n(?:[ \t]*\n)*(?=(?:import|export|const|let|var|function|class|async function|interface|enum)\b)"),
+    "go": re.compile(r"\n\n(?=(?:func|type|var|const)\b)"),
+    "yaml": re.compile(r"\n(?=---(?:\s|$))"),
+    "json": re.compile(r"\n"),
+}
+
+
+def cut_points(text: str, size: int, lang: str = "") -> list[str]:
+    """Chunks of at least a size, each but the first beginning a line that, by its first word, begins a statement of the language."""
     out, i = [], 0
+    rx = _WORD_START.get(lang) or _WORD_START["json"]
     while i < len(text):
-        j = len(text) if i + size >= len(text) else (text.find("\n", i + size) + 1 or len(text))
+        m = rx.search(text, i + size) if i + size < len(text) else None
+        j = m.end() if m else len(text)
         out.append(text[i:j])
         i = j
     return out or [""]
 
 
-def balanced(summary: dict[str, tuple[str, str, str]]) -> bool:
-    """Whether a whole file's map leaves nothing open."""
+def balanced(summary: dict[str, tuple[str, str, str]]) -> bool | None:
+    """Whether a whole file's map leaves nothing open; None if it cannot tell."""
     end, closed, opened = summary["code"]
-    return end in ("code", "line") and not closed and not opened
+    return None if end == "unsure" else end == "code" and not closed and not opened
+
+
+def runs(lang: str, text: str, size: int = CHUNK_CHARS) -> list[str] | None:
+    """The balanced runs of statements of a text, by the summaries of its chunks; None if it is not balanced."""
+    chunks = cut_points(text, size, lang)
+    maps = [chunk_summary(lang, c, i == 0) for i, c in enumerate(chunks)]
+    whole = balanced(reduce(combine, maps))
+    if whole is None:
+        return [text]
+    if not whole:
+        return None
+    out, begin, at, so_far = [], 0, 0, None
+    for c, m in zip(chunks, maps):
+        so_far = m if so_far is None else combine(so_far, m)
+        at += len(c)
+        if so_far["code"] == ("code", "", "") and lang != "json":
+            out.append(text[begin:at])
+            begin = at
+    return out + [text[begin:]] if begin < len(text) or not out else out
 
 
 # ---------------------------------------------------------------- local grammars
@@ -134,7 +250,7 @@ def check_python(text: str) -> bool:
     except (SyntaxError, ValueError):
         return False
     except (RecursionError, MemoryError):
-        return True  # too deep for the parser to tell
+        return True  # deeper than the interpreter's parser goes: its brackets pair, which is all that is known
     return True
 
 
@@ -151,10 +267,39 @@ def check_json(text: str) -> bool:
     except ValueError:
         return False
     except RecursionError:
-        return True
+        return _json_by_levels(text)
     return True
 
 
+_J_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
+_J_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+_J_AFTER = {"[": "sv[{]", "{": "s}", "a,": "sv[{", "o,": "s", ":": "sv[{"}
+
+
+def _json_by_levels(text: str) -> bool:
+    """Strict JSON of any depth: scalars become one sign, and a stack of brackets tells what may follow."""
+    s = re.sub(r"[ \t\r\n]+", "", _J_SCALAR.sub("v", _J_STRING.sub("s", text)))
+    stack: list[str] = []
+    due, key = "sv[{", False  # what may come next, and whether a key is due
+    for c in s:
+        if c not in due:
+            return False
+        if c in "[{":
+            stack.append(c)
+            due, key = _J_AFTER[c], c == "{"
+        elif c == "s" and key:
+            due, key = ":", False
+        elif c == ":":
+            due = _J_AFTER[c]
+        elif c == ",":
+            due, key = _J_AFTER["a," if stack[-1] == "[" else "o,"], stack[-1] == "{"
+        else:
+            if c in "]}":
+                stack.pop()
+            due, key = "" if not stack else ",]" if stack[-1] == "[" else ",}", False
+    return not stack and due == ""
+
+
 _Y_KEY = re.compile(r"""(?:&\S+[ ]+|!\S*[ ]+)*(?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s\-?:,\[\]{}#&*!|>'"%@`][^#\n]*?|[?:\-](?=\S)[^#\n]*?|\*\S+|\[[^\]]*\]|\{[^}]*\})[ ]*:(?=[ ]|$)""")
 _Y_BLOCK = re.compile(r"(?:&\S+[ ]+|!\S*[ ]+)*[|>](?:[+-]?[1-9]?|[1-9][+-]?)[ ]*(?:#.*)?$")
 _Y_PROPS = re.compile(r"(?:(?:&[^\s,\[\]{}]+|![^\s,\[\]{}]*)(?:[ ]+|$))*")
@@ -433,16 +578,20 @@ def check_yaml(text: str) -> bool:
     """Whether a text is a YAML stream."""
     if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text):
         return False
+    limit = sys.getrecursionlimit()
     try:
+        # a level takes no more than a few calls
+        sys.setrecursionlimit(max(limit, 1_000 + 8 * (text.count("\n") + len(text) // 2)))
         _Yaml(text.lstrip("﻿")).stream()
     except _Bad:
         return False
-    except RecursionError:
-        return True
+    finally:
+        sys.setrecursionlimit(limit)
     return True
 
 
 _CHECKS = {".py": check_python, ".json": check_json, ".yaml": check_yaml, ".js": lambda t: check_js(t, False), ".ts": lambda t: check_js(t, True), ".go": check_go}
+_LANGUAGE = {".js": "js", ".ts": "js", ".go": "go", ".py": "py", ".json": "json", ".yaml": "yaml"}
 
 
 def extension(path: str | None) -> str:
@@ -450,50 +599,45 @@ def extension(path: str | None) -> str:
     return name[name.rfind(".") :].lower() if "." in name else ""
 
 
-def parses(text: str, path: str) -> bool | None:
+def parses(text: str, path: str, chunk_chars: int = CHUNK_CHARS) -> bool | None:
     """The verdict on a file; None for languages that are not checked."""
-    check = _CHECKS.get(extension(path))
-    return None if check is None else check(text)
+    ext = extension(path)
+    check = _CHECKS.get(ext)
+    if check is None:
+        return None
+    if "\r" in text and ext != ".json":
+        text = text.replace("\r\n", "\n") if ext == ".go" else text.replace("\r\n", "\n").replace("\r", "\n")
+    if text.startswith("#!") and ext in (".js", ".ts"):
+        text = "//" + text[2:]
+    parts = runs(_LANGUAGE[ext], text, chunk_chars)
+    if parts is None:
+        return False
+    held = ""
+    for i, part in enumerate(parts):
+        # a run that is none by itself (a decorator, say) is read with the next one
+        part = held + ("package p\n" if ext == ".go" and i and not held else "") + part
+        if check(part):
+            held = ""
+        elif held or i == len(parts) - 1:
+            return False
+        else:
+            held = part
+    return not held
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def _language(path: str) -> str | None:
-    return {".js": "js", ".ts": "js", ".go": "go", ".py": "py"}.get(extension(path))
-
-
-def unparsable(df: DataFrame, key: str = "file_id", path: str = "file_path", text: str = "content", inline_chars: int = INLINE_CHARS, chunk_chars: int = CHUNK_CHARS, carry: str = "") -> DataFrame:
+def unparsable(df: DataFrame, key: str = "file_id", path: str = "file_path", text: str = "content", chunk_chars: int = CHUNK_CHARS, carry: str = "") -> DataFrame:
     """(key, carry..., valid) of every file in a checked language, each key once.
 
-    An empty text is valid but for JSON; a null text or path gives no row. `carry` names further columns with their
-    types, such as "repo string, lang string".
+    An empty text is valid but for JSON and Go; a null text or path gives no row. `carry` names further columns with
+    their types, such as "repo string, lang string". The chunk size changes no verdict.
     """
     extra = [c.split()[0] for c in carry.split(",") if c.strip()]
     known = df.where(F.lower(F.col(path)).rlike(r"\.(py|js|ts|go|json|yaml)$") & F.col(text).isNotNull())
     schema = ", ".join(x for x in (f"{key} bigint", carry, "valid boolean") if x.strip())
-    small = arrow_rows(known.where(F.length(text) <= inline_chars), [key, *extra, path, text], schema, lambda k, *r: [(k, *r[:-2], parses(r[-1], r[-2]))])
-
-    big = known.where(F.length(text) > inline_chars)
-
-    def chunks(k, p, t):
-        lang = _language(p)
-        return [(k, i, lang, c) for i, c in enumerate(cut_points(t, chunk_chars))] if lang in ("go", "py") else []
-
-    def summary(k, i, lang, c):
-        return [(k, i, json.dumps(chunk_summary(lang, c, i == 0)))]
-
-    def reduced(k, parts):
-        maps = [{s: tuple(v) for s, v in json.loads(p["s"]).items()} for p in parts]
-        return [(k, balanced(reduce(combine, maps)))]
-
-    cut = arrow_rows(big, [key, path, text], f"{key} bigint, i int, lang string, c string", chunks).repartition(key, "i")
-    maps = arrow_rows(cut, [key, "i", "lang", "c"], f"{key} bigint, i int, s string", summary)
-    whole = maps.dropDuplicates([key, "i"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("parts"))
-    open_ = arrow_rows(whole, [key, "parts"], f"{key} bigint, closed boolean", reduced).where("not closed").select(key, F.lit(True).alias("open"))
-    large = big.join(open_, key, "left")
-    verdict = arrow_rows(large, [key, *extra, path, text, "open"], schema, lambda k, *r: [(k, *r[:-3], False if r[-1] else parses(r[-2], r[-3]))])
-    return small.unionByName(verdict).dropDuplicates([key])
+    return arrow_rows(known, [key, *extra, path, text], schema, lambda k, *r: [(k, *r[:-2], parses(r[-1], r[-2], chunk_chars))]).dropDuplicates([key])
 
 
 def found(df: DataFrame) -> DataFrame:
