@@ -1,10 +1,13 @@
 """Evaluation texts leaking into training text (problem 8).
 
 Method: latent semantic retrieval. Documents and evaluation items are cut into passages of words, weighed by TF-IDF over a
-hashed vocabulary of fixed size; a randomised SVD, whose products are summed over all partitions, gives the latent space.
-A passage is a candidate for an item where their cosine in that space reaches `cosine`. A candidate is confirmed by its
-text: by the longest run of consecutive words in common (a leak, from `run` words on), or, for paraphrases, by the
-longest common subsequence and the presence of the answer.
+hashed vocabulary of fixed size, with frequencies counted over all documents. A randomised SVD gives the latent space;
+it is fitted on the passages of a sample of documents of at most about `SAMPLE_WORDS` words (all, if there are fewer), so
+that its partial products are bounded, whatever the corpus. The items' passages are an inverted file in that space:
+cells around centroids. Every passage of every document is projected, looks into its `PROBES` nearest cells, and is a
+candidate for an item of which a passage there is as near as `cosine`. Only candidates are compared by their text: by runs
+of consecutive words in common (a leak, from `run` words on), or, for paraphrases, by the longest common subsequence
+and the presence of the answer.
 
 Windows of documents are wider than those of items by more than their step, so every run of `run` words lies wholly
 within one window. The evaluation set does not grow with the corpus; its size is checked before it is broadcast, and
@@ -33,6 +36,10 @@ ITEM_STEP = 3
 COSINE, PARAPHRASE_COSINE, SUBSEQUENCE = 0.35, 0.8, 0.6
 #: Item windows that are searched at once; the bound of what is broadcast is this times RANK floats (4 MB).
 MOST_WINDOWS = 10_000
+#: Words of the documents on which the space is fitted, at most about so many, in so many partitions.
+SAMPLE_WORDS, SAMPLE_PARTS = 2_000_000, 16
+#: Cells of the items' passages, and how many of them a passage looks into.
+CELLS, PROBES = 64, 16
 
 _PART = schema_of("block int, data binary")
 _HIT = schema_of("doc_id bigint, item_id bigint, kind string, run int, cosine double")
@@ -112,7 +119,7 @@ def _gram_pass(factor, idf):
 
 
 def _sum_blocks(parts: DataFrame, width: int) -> np.ndarray:
-    """Sums of the partitions' blocks, in two rounds; 32 rows of fixed size reach the driver."""
+    """Sums of the SAMPLE_PARTS partitions' blocks; 32 rows of fixed size reach the driver."""
 
     def total(pdf):
         import pandas as pd
@@ -122,34 +129,40 @@ def _sum_blocks(parts: DataFrame, width: int) -> np.ndarray:
             acc += np.frombuffer(d, np.float32)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "data": [acc.astype(np.float32).tobytes()]})
 
-    first = parts.withColumn("p", F.spark_partition_id() % 16).groupBy("block", "p").applyInPandas(total, "block int, data binary")
     out = np.zeros((SLOTS, width), np.float64)
     size = SLOTS // 32
-    for row in first.groupBy("block").applyInPandas(total, "block int, data binary").collect():
+    for row in parts.groupBy("block").applyInPandas(total, "block int, data binary").collect():
         out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["data"], np.float32).reshape(size, width)
     return out
 
 
-def fit(words: DataFrame, rank: int = RANK, seed: int = 5) -> Space:
-    """The latent space of all passages of (doc_id, words): one power step and a projected eigenproblem."""
+def fit(words: DataFrame, rank: int = RANK, seed: int = 5, sample_words: int = SAMPLE_WORDS) -> Space:
+    """The latent space of (doc_id, words): one power step and a projected eigenproblem over a sample of the documents."""
     sc = words.sparkSession.sparkContext
-    counts = words.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(F.col("w")).agg(F.count("*").alias("n"))
 
     def slots(batches):
+        # a document counts once for each slot; a batch is counted before anything is shuffled
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(b.column(0).to_numpy())), b.column(1)], names=["s", "n"])
-
-    table = counts.mapInArrow(slots, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+            values, offsets = _lists(b.column(0))
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            once = np.unique(doc * SLOTS + _slots(values)) % SLOTS
+            s, n = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[s, -1]), pa.array(np.r_[n, len(offsets) - 1]), pa.array(np.r_[np.zeros(len(s), np.int64), len(values)])], names=["s", "n", "w"])
+
+    table = words.select("words").mapInArrow(slots, "s bigint, n bigint, w bigint").groupBy("s").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toPandas()
+    total = table[table["s"] < 0]
+    docs, size = (max(1, int(total["n"].iloc[0])), int(total["w"].iloc[0])) if len(total) else (1, 0)
+    table = table[table["s"] >= 0]
     df = np.zeros(SLOTS)
     df[table["s"].to_numpy(dtype=np.int64)] = table["n"].to_numpy()
-    docs = max(1, words.count())
     idf = np.log1p(docs / np.maximum(df, 1.0)).astype(np.float64)
     weights = sc.broadcast(idf)
+    share = min(1.0, sample_words / max(1, size))
+    sample = words.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).repartition(SAMPLE_PARTS, "doc_id").checkpoint()
     width = rank + OVERSAMPLE
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((SLOTS, width)))[0]
     for last in (False, True):
-        b = _sum_blocks(words.mapInArrow(_gram_pass(sc.broadcast(q.astype(np.float32)), weights), _PART), width)
+        b = _sum_blocks(sample.mapInArrow(_gram_pass(sc.broadcast(q.astype(np.float32)), weights), _PART), width)
         if not last:
             q = np.linalg.qr(b)[0]
     value, vector = np.linalg.eigh((q.T @ b + b.T @ q) / 2)
@@ -201,62 +214,102 @@ class Items(NamedTuple):
     ids: np.ndarray
     words: list[np.ndarray]
     answers: list[np.ndarray]
-    owner: np.ndarray  # item index per window
-    vectors: np.ndarray
+    owner: np.ndarray  # item index per window, by cell
+    vectors: np.ndarray  # windows by cell
+    cells: np.ndarray  # where each cell begins, and the end
+    centroids: np.ndarray
+
+
+def inverted_file(vectors: np.ndarray, cells: int = CELLS, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, bounds, centroids): the vectors' order by cell, where each cell begins, and the cells' centroids (spherical k-means)."""
+    k = max(1, min(cells, len(vectors)))
+    centroids = vectors[np.random.default_rng(seed).choice(len(vectors), k, replace=False)]
+    for _ in range(rounds):
+        cell = (vectors @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, cell, vectors)
+        centroids = np.where(np.bincount(cell, minlength=k)[:, None] > 0, _unit(sums), centroids)
+    cell = (vectors @ centroids.T).argmax(axis=1)
+    order = np.argsort(cell, kind="stable")
+    return order, np.searchsorted(cell[order], np.arange(k + 1)), centroids
+
+
+def candidates(it: Items, unit: np.ndarray, cosine: float, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item, cosine) of the pairs that reach the cosine in one of the passage's nearest cells, the best of each pair."""
+    near = unit @ it.centroids.T
+    k = min(probes, near.shape[1])
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    cell, passage = top.ravel(), np.repeat(np.arange(len(unit)), k)
+    by = np.argsort(cell, kind="stable")
+    passage, bounds = passage[by], np.searchsorted(cell[by], np.arange(near.shape[1] + 1))
+    rows, items, cos = [], [], []
+    for c in range(near.shape[1]):
+        mine, a, b = passage[bounds[c] : bounds[c + 1]], it.cells[c], it.cells[c + 1]
+        if a == b or not len(mine):
+            continue
+        score = unit[mine] @ it.vectors[a:b].T
+        r, v = np.nonzero(score >= cosine)
+        rows.append(mine[r])
+        items.append(it.owner[a + v])
+        cos.append(score[r, v])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    r, i, c = np.concatenate(rows), np.concatenate(items), np.concatenate(cos)
+    order = np.lexsort((-c, i, r))
+    r, i, c = r[order], i[order], c[order]
+    first = np.r_[True, (r[1:] != r[:-1]) | (i[1:] != i[:-1])] if len(r) else np.zeros(0, bool)
+    return r[first], i[first], c[first]
 
 
 def _search(items, space, run: int, cosine: float, paraphrases: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = items.value
         basis = space.value.basis
-        # the items' runs as one sorted table of (hash, item)
-        table = [(g, i) for i, w in enumerate(it.words) for g in np.unique(_grams(w, run))]
-        table_hash = np.array([g for g, _ in table], np.uint64)
-        table_item = np.array([i for _, i in table], np.int64)
-        order = np.argsort(table_hash, kind="stable")
-        table_hash, table_item = table_hash[order], table_item[order]
-        first = np.searchsorted(it.owner, np.arange(len(it.words)))
-        after = np.searchsorted(it.owner, np.arange(len(it.words)), side="right")
-        vectors = it.vectors.T.copy()
+
+        def signed(gram: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return gram ^ (np.asarray(item, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        runs = np.unique(np.concatenate([signed(_grams(w, run), i) for i, w in enumerate(it.words)] or [np.zeros(0, np.uint64)]))
+        slots = np.arange(DOC_WINDOW - run + 1)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, offsets = _lists(batch.column(1))
             out: dict[tuple[int, int], tuple[str, int, float]] = {}
             for i, j in _chunks(offsets, 40_000):
                 part, off = words[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                if len(part) < run:
+                if not len(part):
                     continue
                 row, start, end = _windows(off, DOC_WINDOW, DOC_STEP)
-                unit = _unit(_project(part, start, end, basis))
-                # per window and item the best cosine: the candidates
-                near = np.empty((len(row), len(it.words)), np.float32)
-                for a in range(0, len(row), 1024):
-                    near[a : a + 1024] = np.maximum.reduceat(unit[a : a + 1024] @ vectors, first[after > first], axis=1)
-                # positions whose run of words is one of an item's, to confirm candidates with
-                gram = _grams(part, run)
-                lo, hi = np.searchsorted(table_hash, gram), np.searchsorted(table_hash, gram, side="right")
-                for at in np.flatnonzero(hi > lo):
-                    inside = np.flatnonzero((start <= at) & (end >= at + run))
-                    for item in table_item[lo[at] : hi[at]]:
-                        sure = inside[near[inside, item] >= cosine]
-                        if len(sure):
-                            r = int(row[sure[0]])
-                            key = (int(ids[i + r]), int(item))
-                            if key not in out:
-                                a, b = max(int(off[r]), at - len(it.words[item])), min(int(off[r + 1]), at + 2 * len(it.words[item]))
-                                out[key] = ("run", longest_run(it.words[item], part[a:b]), float(near[sure, item].max()))
+                w, item, cos = candidates(it, _unit(_project(part, start, end, basis)), cosine)
+                # the candidates' runs of words, each with the item it is a candidate for
+                if len(runs) and len(part) >= run and len(w):
+                    gram = _grams(part, run)
+                    at = start[w][:, None] + slots
+                    inside = at + run <= end[w][:, None]
+                    key = signed(gram[np.where(inside, at, 0)], item[:, None])
+                    place = np.searchsorted(runs, key)
+                    place[place == len(runs)] = 0
+                    hit = (runs[place] == key) & inside
+                    sure = hit.any(axis=1)
+                    for x in np.flatnonzero(sure):
+                        r, mine = int(row[w[x]]), it.words[item[x]]
+                        name = (int(ids[i + r]), int(item[x]))
+                        p = int(at[x, hit[x].argmax()])
+                        a, b = max(int(off[r]), p - len(mine)), min(int(off[r + 1]), p + 2 * len(mine))
+                        if name not in out:
+                            out[name] = ("run", longest_run(mine, part[a:b]), float(cos[x]))
                 if paraphrases:
-                    hits = np.argwhere(near >= PARAPHRASE_COSINE)
-                    for w, item in hits[np.argsort(-near[hits[:, 0], hits[:, 1]], kind="stable")]:
-                        r = int(row[w])
-                        key = (int(ids[i + r]), int(item))
-                        if key in out:
+                    near = np.flatnonzero(cos >= PARAPHRASE_COSINE)
+                    for x in near[np.argsort(-cos[near], kind="stable")]:
+                        r, mine, answer = int(row[w[x]]), it.words[item[x]], it.answers[item[x]]
+                        name = (int(ids[i + r]), int(item[x]))
+                        if name in out:
                             continue
-                        mine = it.words[item]
-                        a, b = max(int(off[r]), int(start[w]) - len(mine)), min(int(off[r + 1]), int(end[w]) + len(mine))
+                        a, b = max(int(off[r]), int(start[w[x]]) - len(mine)), min(int(off[r + 1]), int(end[w[x]]) + len(mine))
                         around = part[a:b]
-                        if longest_subsequence(mine, around) >= SUBSEQUENCE * len(mine) and (not len(it.answers[item]) or np.isin(it.answers[item], around).all()):
-                            out[key] = ("paraphrase", longest_run(mine, around), float(near[w, item]))
+                        if longest_subsequence(mine, around) >= SUBSEQUENCE * len(mine) and (not len(answer) or np.isin(answer, around).all()):
+                            out[name] = ("paraphrase", longest_run(mine, around), float(cos[x]))
             if out:
                 keys = list(out)
                 yield pa.RecordBatch.from_arrays(
@@ -289,7 +342,8 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, cosine: float
         off = np.r_[0, np.cumsum([len(w) for w in ws])]
         row, start, end = _windows(off, run, ITEM_STEP)
         vectors = _unit(_project(np.concatenate(ws), start, end, space.basis))
-        it = Items(np.array([r["item_id"] for r in part]), ws, [np.array(r["a"], np.int64) for r in part], row, vectors)
+        order, cells, centroids = inverted_file(vectors)
+        it = Items(np.array([r["item_id"] for r in part]), ws, [np.array(r["a"], np.int64) for r in part], row[order], vectors[order], cells, centroids)
         return words.mapInArrow(_search(spark.sparkContext.broadcast(it), shared, run, cosine, paraphrases), _HIT)
 
     for r in rows.toLocalIterator():
