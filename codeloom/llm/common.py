@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ensure_checkpoint_dir
+
 # words as the problem statements define them
 CODE_WORD = re.compile(r"[a-z0-9_]+")
 
@@ -52,3 +55,18 @@ def entity_kind(col: str | Column) -> Column:
 def code_entities(entities: DataFrame) -> DataFrame:
     """Functions and methods."""
     return entities.where(entity_kind("entity_type").isin("function", "method"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame as a table written to the shared checkpoint folder, which ends its lineage.
+
+    Repeated hashes are stored once by the column encoding, so such a table is several times smaller than a checkpoint, and
+    its size is known to the planner. It goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,21 @@
 """Near-duplicate records with small edits (problem 1).
 
-Method: improved consistent weighted sampling. A text is a multiset of words; each word weighs its count times its inverse
-document frequency over all texts, and every sample picks a word with the same probability in texts that weigh it
-alike, so two texts agree on a sample with the probability of their weighted Jaccard similarity. Samples are cut into
-bands; texts that agree on a band are candidates, and a candidate pair is kept if its words' weighted (multiset) Jaccard
-similarity reaches the bound: twice the common words over the sum of both numbers is at least `threshold`.
-
-Equal word multisets are one class before anything is compared, so copies cost nothing. Document frequencies are counted
-over all classes in a hashed table of fixed size; that table (1 MB) is all that is broadcast. A band with very many
-texts is cut into tiles, and every tile is compared with itself and with each later one, so that no pair with a
-common band is left out and no task holds more than two tiles of a band.
+Method: improved consistent weighted sampling. A text is a multiset of shingles (runs of `shingle` words; of one word, where
+similarity is stated over words); each shingle weighs its count times its smoothed inverse document frequency over all
+texts, and every sample picks a shingle with the same probability in texts that weigh it alike, so two texts agree on a
+sample with the probability of their weighted Jaccard similarity. Samples are cut into bands; texts that agree on a band
+are candidates. A candidate pair is kept if its multisets' Jaccard similarity, weighted by counts, is at least t / (2 - t),
+which is the same as twice the common shingles over the sum of both numbers being at least t, the `threshold`.
+
+In a large group of copies the words that differ are the rare ones, and rare words weigh most, so some of its pairs
+agree on no band. A second round finds these: every text joins the bands of its two neighbours of least hash, and texts that
+share such a neighbour are compared.
+
+Equal multisets are one class before anything is compared, so copies cost nothing. Frequencies are counted over all
+classes in a hashed table of fixed size; that table (2 MB) is broadcast. A band with very many texts is cut into tiles, and
+every tile is compared with itself and with each later one, so no pair with a common band is left out and no task
+holds more than two tiles of a band. Candidates are tested with sketches of 64 bytes first, whose bound on the common
+shingles is exact, and only those that pass meet with their whole multisets.
 """
 
 from __future__ import annotations
@@ -18,23 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.components import connected_components
-from ..session import ensure_checkpoint_dir
-from .common import schema_of
+from .common import cut, schema_of
 
 #: Slots of the hashed document-frequency table; the bound of what is broadcast.
 SLOTS = 1 << 18
 BANDS, ROWS = 24, 4
-#: Texts in a band beyond which it is cut into tiles of so many.
-HOT_BAND = 256
+#: Texts in a band beyond which it is cut into tiles of so many, and the parts in which its rows are told apart.
+HOT_BAND, SALT = 256, 16
+#: Inverse frequencies rise up to this many times rarer than all texts.
+RAREST = 1_000.0
+#: Counters of a sketch, one byte each.
+SKETCH = 64
 
 #: A word and its count share a long: 56 bits of the word's hash, 8 bits of the count.
 COUNT_BITS = 8
 _CLASS = schema_of("id bigint, n int, c1 bigint, c2 bigint, words array<bigint>")
-_SIGN = schema_of("id bigint, n int, bands array<bigint>")
+_SIGN = schema_of("id bigint, n int, bands array<bigint>, sketch binary")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -175,12 +184,37 @@ def _signer(weights, bands: int, rows: int, seed: int):
             flat = pa.array(np.ascontiguousarray(out.T).ravel(), pa.int64())
             ids = pa.array(batch.column(0).to_numpy(zero_copy_only=False)[full], pa.int64())
             n = pa.array(batch.column(1).to_numpy(zero_copy_only=False)[full].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, n, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat)], schema=to_arrow_schema(_SIGN))
+            sketch = pa.array([x.tobytes() for x in sketches(words, tfs, counts[full])], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, n, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat), sketch], schema=to_arrow_schema(_SIGN))
 
     return run
 
 
+def sketches(words: np.ndarray, tfs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of each text's words by their hash in SKETCH counters; 255 stands for that many or more."""
+    out = np.zeros((len(counts), SKETCH), np.int64)
+    slot = (_mix(words.astype(np.uint64)) >> np.uint64(58)).astype(np.int64) % SKETCH
+    np.add.at(out, (np.repeat(np.arange(len(counts)), counts), slot), tfs)
+    return np.minimum(out, 255).astype(np.uint8)
+
+
 _PAIR = schema_of("a bigint, b bigint, similarity double")
+_CANDIDATE = schema_of("a bigint, b bigint, na int, nb int")
+
+
+def _sifter(threshold: float):
+    """Candidates whose sketches allow the threshold: the sum of the lesser counters is at least the number of common words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
+            least = np.minimum(x, y)
+            most = least.sum(axis=1, dtype=np.int64) + np.where((least == 255).any(axis=1), np.iinfo(np.int32).max, 0)
+            ok = pa.array(2 * most >= threshold * (na.astype(np.int64) + nb) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:4]], schema=to_arrow_schema(_CANDIDATE))
+
+    return run
 
 
 def _verifier(threshold: float):
@@ -204,65 +238,90 @@ def _verifier(threshold: float):
     return run
 
 
-def word_classes(df: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): every key with its class, and per class its words and counts. A class is named by its least key."""
-    ensure_checkpoint_dir(df.sparkSession)
+def word_classes(df: DataFrame, key: str, text: str, min_words: int, shingle: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): every key with its class, and per class its shingles and counts. A class is named by its least key."""
     words = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda w: F.xxhash64(w))
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), words.alias("w")).mapInArrow(_bags(min_words), _CLASS).checkpoint()
-    classes = rows.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "n", "words"), "id").alias("r")).select("c1", "c2", "r.*").checkpoint()
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), words.alias("w"))
+    if shingle > 1:
+        runs = F.transform(F.sequence(F.lit(0), F.size("w") - shingle), lambda i: F.xxhash64(F.slice("w", i + 1, F.lit(shingle))))
+        rows = rows.select("id", F.when(F.size("w") >= shingle, runs).otherwise(F.lit([]).cast("array<bigint>")).alias("w"))
+    rows = cut(rows.mapInArrow(_bags(min_words), _CLASS))
+    classes = cut(rows.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "n", "words"), "id").alias("r")).select("c1", "c2", "r.*"))
     members = rows.select("id", "c1", "c2").distinct().join(classes.select("c1", "c2", F.col("id").alias("rep")), ["c1", "c2"]).select("id", "rep")
     return members, classes
 
 
 def frequencies(classes: DataFrame):
-    """Inverse document frequencies by hashed word, over all classes; words of a single text weigh next to nothing."""
+    """Smoothed inverse document frequencies by hashed word, over all classes. The fewer texts have a word, the less of its
+    weight it gets: a word of few texts tells copies of one original apart, and one of a single text can be in no pair."""
     slot = F.expr(f"cast(shiftrightunsigned(word, {COUNT_BITS}) & {SLOTS - 1} as int)")
     counts = classes.select(F.explode("words").alias("word")).select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toPandas()
     total = max(1, classes.count())
     df = np.zeros(SLOTS)
     df[counts["slot"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy()
-    idf = np.log1p(total / np.maximum(df, 1.0))
-    return np.where(df <= 1, 1e-6, idf).astype(np.float64)
+    df = np.maximum(df, 1.0)
+    return np.log1p(np.minimum(total / df, RAREST)) * ((df - 1) / (df + 1) + 0.01)
 
 
 def _band_pairs(keyed: DataFrame, ratio: float, tile: int) -> DataFrame:
-    """Pairs (a, b) of rows (id, n) with a common `band`, a < b. A band of more than `tile` rows is cut into tiles by id."""
-    shared = keyed.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where("size > 1")
+    """Pairs (a, b, na, nb) of rows (id, n) with a common `band`, a < b. A band of more than `tile` rows is cut into tiles by id.
+
+    Bands are counted by an aggregation; the rows of large ones are told apart in SALT parts each, so that no band passes
+    through one task.
+    """
 
     def close(x: str, y: str) -> Column:
         return 2 * F.least(x, y) >= ratio * (F.col(x) + F.col(y))
 
-    cold = shared.where(F.col("size") <= tile)
+    salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALT)).cast("int")
+    large = keyed.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > tile)
+    large = cut(large.select("band", F.ceil(F.col("size") / tile).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s")))
+    # with no large band, or few of them, this join is a broadcast by the planner's own size check
+    tagged = keyed.withColumn("s", salt).join(large, ["band", "s"], "left")
+    cold = tagged.where("m is null").select("band", "id", "n")
     y = cold.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"))
-    pairs = cold.select("band", "id", "n").join(y, "band").where((F.col("id") < F.col("id2")) & close("n", "n2"))
+    pairs = cold.join(y, "band").where((F.col("id") < F.col("id2")) & close("n", "n2"))
     # a row is one of tile t of m, by its hash; it meets the tiles (i, t) with i <= t from one side and (t, j) with j >= t from the other
-    m = F.ceil(F.col("size") / tile).cast("int")
-    hot = shared.where(F.col("size") > tile).select("band", "id", "n", m.alias("m"), F.pmod(F.xxhash64("id"), m).cast("int").alias("t"))
+    hot = tagged.where("m is not null").select("band", "id", "n", "m", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("t"))
     left = hot.select("band", "id", "n", F.col("t").alias("i"), F.explode(F.sequence("t", F.col("m") - 1)).alias("j"))
     right = hot.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("t").alias("j"), F.explode(F.sequence(F.lit(0), "t")).alias("i"))
     tiles = left.join(right, ["band", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("id") < F.col("id2"))) & close("n", "n2"))
-    out = [x.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")) for x in (pairs, tiles)]
-    return out[0].union(out[1]).distinct()
+    first = F.col("id") < F.col("id2")
+    ends = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("nb")]
+    return pairs.select(*ends).union(tiles.select(*ends)).distinct()
 
 
-def class_pairs(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> DataFrame:
-    """(a, b, similarity) of all pairs of classes that reach the threshold, a < b."""
+def class_pairs(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, seed: int = 7, complete: bool = True) -> DataFrame:
+    """(a, b, similarity) of all pairs of classes that reach the threshold, a < b. `complete` adds the second round."""
     weights = classes.sparkSession.sparkContext.broadcast(frequencies(classes))
-    signed = classes.select("id", "n", "words").mapInArrow(_signer(weights, bands, rows, seed), _SIGN).checkpoint()
-    candidates = _band_pairs(signed.select("id", "n", F.explode("bands").alias("band")), threshold, HOT_BAND)
-    c = classes.select("id", "n", "words")
-    left = candidates.join(c.toDF("a", "na", "wa"), "a")
-    both = left.join(c.toDF("b", "nb", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
-    return both.mapInArrow(_verifier(threshold), _PAIR)
-
-
-def near_duplicate_pairs(df: DataFrame, key: str = "entity_id", text: str = "content", min_words: int = 25, threshold: float = 0.8) -> DataFrame:
+    signed = cut(classes.select("id", "n", "words").mapInArrow(_signer(weights, bands, rows, seed), _SIGN))
+    c, sketch = classes.select("id", "words"), signed.select("id", "sketch")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        near = candidates.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sifter(threshold), _CANDIDATE)
+        both = near.join(c.toDF("a", "wa"), "a").join(c.toDF("b", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
+        return both.mapInArrow(_verifier(threshold), _PAIR)
+
+    links = cut(verified(_band_pairs(signed.select("id", "n", F.explode("bands").alias("band")), threshold, HOT_BAND)))
+    if not complete:
+        return links
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*")
+    ranked = F.struct(F.xxhash64("to", F.lit(seed)).alias("h"), "to")
+    # a text counts as its own neighbour, and so joins those who chose it
+    least = ends.groupBy("id").agg(F.min(ranked).alias("x"), F.max(ranked).alias("z"))
+    hub = F.explode(F.array("id", "x.to", "z.to")).alias("band")
+    stars = least.select("id", hub).distinct().join(classes.select("id", "n"), "id").select("id", "n", "band")
+    more = _band_pairs(stars, threshold, HOT_BAND).join(links.select("a", "b"), ["a", "b"], "left_anti")
+    return links.unionByName(verified(more))
+
+
+def near_duplicate_pairs(df: DataFrame, key: str = "entity_id", text: str = "content", min_words: int = 25, threshold: float = 0.8, shingle: int = 1) -> DataFrame:
     """(a, b, similarity) of all pairs of keys, a < b, copies included.
 
     Null texts and texts of fewer words take part in no pair; repeated rows of a key count once.
     """
-    members, classes = word_classes(df, key, text, min_words)
-    members = members.checkpoint()
+    members, classes = word_classes(df, key, text, min_words, shingle)
+    members = cut(members)
     links = class_pairs(classes, threshold).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
     m1, m2 = members.select(F.col("id").alias("x"), F.col("rep").alias("ra")), members.select(F.col("id").alias("y"), F.col("rep").alias("rb"))
     across = links.join(m1, "ra").join(m2, "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
@@ -271,12 +330,12 @@ def near_duplicate_pairs(df: DataFrame, key: str = "entity_id", text: str = "con
     return across.union(within)
 
 
-def near_duplicate_groups(df: DataFrame, key: str = "entity_id", text: str = "content", min_words: int = 25, threshold: float = 0.8) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str = "entity_id", text: str = "content", min_words: int = 25, threshold: float = 0.8, shingle: int = 1) -> DataFrame:
     """(key, group_id, class_id, links): every key with enough words, the group of edited copies it belongs to (named by
     its least key; alone in it if nothing is similar), the class of exact copies, and the number of other classes linked to it.
     """
-    members, classes = word_classes(df, key, text, min_words)
-    links = class_pairs(classes, threshold).checkpoint()
+    members, classes = word_classes(df, key, text, min_words, shingle)
+    links = cut(class_pairs(classes, threshold))
     comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     out = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
