@@ -35,6 +35,8 @@ SLOTS = 1 << 18
 BANDS, ROWS = 24, 4
 #: Texts in a band beyond which it is cut into tiles of so many, and the parts in which its rows are told apart.
 HOT_BAND, SALT = 256, 16
+#: Bits of the filter on texts that are in some candidate pair; the bound of what is broadcast for it (2 MB).
+FILTER_BITS = 1 << 24
 #: Inverse frequencies rise up to this many times rarer than all texts.
 RAREST = 1_000.0
 #: Counters of a sketch, one byte each.
@@ -138,8 +140,8 @@ def _bags(min_words: int):
 def _signer(weights, bands: int, rows: int, seed: int):
     """Distinct words with counts -> band hashes, by consistent weighted sampling.
 
-    A sample's value depends on (word, count) only, so it is computed once for each such pair of a batch, and ranked;
-    a text's sample is then the pair of least rank, found by a segmented minimum over integers.
+    A sample's value depends on (word, count) only, so it is computed once for each such pair of a batch; a text's
+    sample is then the pair of least value, found by a segmented minimum over integers.
     """
 
     def uniform(base: np.ndarray, salt: int) -> np.ndarray:
@@ -165,6 +167,7 @@ def _signer(weights, bands: int, rows: int, seed: int):
             weight = ut * idf[_slots(uw)]
             log_w = np.log(np.maximum(weight, 1e-12))
             base = _mix(uw)
+            number = np.arange(len(uw), dtype=np.uint64)
             out = np.zeros((bands, int(full.sum())), np.uint64)
             seg = starts[full]
             for k in range(bands * rows):
@@ -172,10 +175,10 @@ def _signer(weights, bands: int, rows: int, seed: int):
                 log_c = np.log(-np.log(uniform(base, 5 * k + 2) * uniform(base, 5 * k + 3)))
                 beta = uniform(base, 5 * k + 4)
                 step = np.floor(log_w / r + beta)
-                rank_of = np.empty(len(uw), np.int32)
-                by = np.argsort(log_c - r * (step - beta) - r, kind="stable")
-                rank_of[by] = np.arange(len(uw), dtype=np.int32)
-                won = by[np.minimum.reduceat(rank_of[pair], seg)]
+                # a float's bits in an order of integers, and below them the pair's number, by which ties go: the least word hash
+                bits = (log_c - r * (step - beta) - r).astype(np.float32).view(np.uint32)
+                rising = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
+                won = (np.minimum.reduceat((rising | number)[pair], seg) & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 with np.errstate(over="ignore"):
                     sample = _mix(base[won] + step[won].astype(np.int64).astype(np.uint64))
                     out[k // rows] = _mix(out[k // rows] * np.uint64(31) + sample + np.uint64(k))
@@ -278,7 +281,8 @@ def _band_pairs(keyed: DataFrame, ratio: float, tile: int) -> DataFrame:
     large = cut(large.select("band", F.ceil(F.col("size") / tile).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s")))
     # with no large band, or few of them, this join is a broadcast by the planner's own size check
     tagged = keyed.withColumn("s", salt).join(large, ["band", "s"], "left")
-    cold = tagged.where("m is null").select("band", "id", "n")
+    # set apart by band once, so that both sides of the join read the same exchange
+    cold = tagged.where("m is null").select("band", "id", "n").repartition("band")
     y = cold.select("band", F.col("id").alias("id2"), F.col("n").alias("n2"))
     pairs = cold.join(y, "band").where((F.col("id") < F.col("id2")) & close("n", "n2"))
     # a row is one of tile t of m, by its hash; it meets the tiles (i, t) with i <= t from one side and (t, j) with j >= t from the other
@@ -291,14 +295,34 @@ def _band_pairs(keyed: DataFrame, ratio: float, tile: int) -> DataFrame:
     return pairs.select(*ends).union(tiles.select(*ends)).distinct()
 
 
+def _having(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of (id, ...) whose id may be among `ids`, told by a bitmap of fixed size (FILTER_BITS), so that a join ships few others."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    filled = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("m")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[filled["w"].to_numpy(dtype=np.int64)] = filled["m"].to_numpy(dtype=np.int64)
+    bitmap = df.sparkSession.sparkContext.broadcast(words.tobytes())
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint64)
+        for batch in batches:
+            s = batch.column(len(columns)).to_numpy(zero_copy_only=False)
+            yield batch.select(list(range(len(columns)))).filter(pa.array((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) != 0))
+
+    return df.select(*columns, slot.alias("_slot")).mapInArrow(run, df.schema)
+
+
 def class_pairs(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, seed: int = 7, complete: bool = True) -> DataFrame:
     """(a, b, similarity) of all pairs of classes that reach the threshold, a < b. `complete` adds the second round."""
     weights = classes.sparkSession.sparkContext.broadcast(frequencies(classes))
     signed = cut(classes.select("id", "n", "words").mapInArrow(_signer(weights, bands, rows, seed), _SIGN))
-    c, sketch = classes.select("id", "words"), signed.select("id", "sketch")
+    sketch = signed.select("id", "sketch")
 
     def verified(candidates: DataFrame) -> DataFrame:
         near = candidates.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sifter(threshold), _CANDIDATE)
+        near = cut(near)
+        c = _having(classes.select("id", "words"), near.select(F.explode(F.array("a", "b")).alias("id")))
         both = near.join(c.toDF("a", "wa"), "a").join(c.toDF("b", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
         return both.mapInArrow(_verifier(threshold), _PAIR)
 
