@@ -1,13 +1,14 @@
 """Generated, minified or vendored source files (problem 4).
 
 Method: (1) rules on path, header and token composition settle what shows by itself: generator marks, minified code, data
-blobs, lock files, and third-party packages by folder or header. (2) An inverted index of rare lines of those
-third-party files, by line hash and package, gives for every remaining file the exact share of its lines that one
-package contains, across all repositories; a share of at least `contained` makes it a vendored copy, edited or not.
-
-The index is joined on the line hash, so no pairs of files arise, and a package that makes up a third of all rows is still
-one package per line. Lines that more than `common` packages share say nothing about a package and are left out of
-both sides of the share.
+blobs, lock files, and third-party packages by folder, header or banner. (2) An inverted index from the lines of those
+third-party files, across all repositories, by line hash to package gives for every remaining file the packages that
+share one of its rarest lines, and for these the exact share of its lines that the package contains; a share of at
+least `contained` makes it a vendored copy, edited or not.
+
+A file of n lines of which a package contains at least c n shares with it at least one of its floor((1 - c) n) + 1 rarest lines, so
+looking up those alone loses no package, and common lines (licence texts, braces) are looked up only by files that
+have hardly any others. The share itself counts all lines.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ensure_checkpoint_dir, spread
-from .common import arrow_rows
+from ..session import spread
+from .common import arrow_rows, cut
 
-CONTAINED, COMMON, LINE_CHARS, FEWEST_LINES = 0.7, 16, 20, 3
+CONTAINED, LINE_CHARS, FEWEST_LINES = 0.7, 20, 3
 
 # Folder and file names by convention.
 _VENDOR = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]?party|node_modules|bower_components|jspm_packages|site-packages|dist-packages|_vendor|Godeps(?:/_workspace)?|external|extern|deps)/(?:lib/)?(?P<name>@?[^/]+)(?=/)")
@@ -34,6 +35,11 @@ _LITERAL = re.compile(r"(?P<c>//[^\n]*|/\*.*?\*/|(?m:^\s*#[^\n]*))|(?P<s>\"\"\".
 _KEYWORD = re.compile(r"\b(?:def|function|func|class|return|while|if)\b")
 
 
+# a banner of a released package: its name and version, and in the same block whose it is
+_BANNER = re.compile(r"^\s*(?:#|//|/\*+!?|\*|;)?\s*(?:@(?:license|preserve|name|package|module)\s+)?(?P<name>@?[A-Za-z][\w./-]*?)(?:\.js)?[ ,@-]+(?:version )?v?\d+\.\d+(?:\.\d+)?(?:[-+][\w.]+)?\s*(?:\*/)?(?:$|[|(,;-]|\bby\b)", re.I)
+_OWNED = re.compile(r"(?:\(c\)|©|\bcopyright\b|@licen[sc]e\b|\blicen[sc]ed?\b)", re.I)
+
+
 def _clean(path: str) -> str:
     return path[2:] if path.startswith("./") else path
 
@@ -45,6 +51,8 @@ def package_of(path: str, head: list[str]) -> str | None:
     for line in head:
         if (t := _THIRD.match(line)) is not None:
             name = name or t["name"] or t["n2"] or ""
+    if not name and any(_OWNED.search(line) for line in head):
+        name = next((t["name"] for t in map(_BANNER.match, head) if t), name)
     if name is None:
         return None
     return re.sub(r"[-_.]?v?\d+(?:\.\d+)+$", "", name).lower().replace("_", "-").rstrip(".,;")
@@ -85,6 +93,12 @@ def content_name(text: str) -> str:
     return "content-" + min(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() for x in lines)
 
 
+def line_hashes(text: str | None) -> list[int]:
+    """Hashes of the different lines of a text that are long enough to tell something, blanks around them aside."""
+    lines = {x.strip() for x in (text or "").split("\n")}
+    return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in lines if len(x) >= LINE_CHARS]
+
+
 def composition(text: str, path: str) -> str | None:
     """Token composition: 'minified', 'data', or None."""
     lower = path.lower()
@@ -144,24 +158,32 @@ def provenance(df: DataFrame, key: str = "file_id", path: str = "file_path", tex
     kind is generated, lock, minified, data, vendored (by folder or header) or copied (by its lines; share is then the
     part of its lines that the package contains). Null texts and paths give no row.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = arrow_rows(df, [key, path, text], f"{key} bigint, kind string, package string", lambda k, p, t: [(k, *classify(p, t))] if k is not None else [])
-    kinds = rows.dropDuplicates([key]).checkpoint()
-    trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x))
-    lines = df.where(F.col(text).isNotNull()).select(key, F.array_distinct(F.transform(F.filter(trimmed, lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x))).alias("hs"))
-    code = lines.join(kinds.where("kind is null or kind = 'vendored'"), key)
-    seed = code.where("kind = 'vendored'").select("package", F.explode("hs").alias("h")).distinct()
-    spread_ = seed.groupBy("h").agg(F.count("*").alias("packages"))
-    index = seed.join(spread_.where(F.col("packages") <= COMMON), "h").select("h", "package")
-    open_ = code.where("kind is null").dropDuplicates([key]).select(key, F.explode("hs").alias("h"))
-    hits = open_.join(index, "h").groupBy(key, "package").agg(F.count("*").alias("n"))
-    best = hits.groupBy(key).agg(F.max_by("package", F.struct("n", "package")).alias("package"), F.max("n").alias("n"))
-    common = open_.join(spread_.where(F.col("packages") > COMMON), "h").groupBy(key).agg(F.count("*").alias("n_common"))
-    total = lines.dropDuplicates([key]).select(key, F.size("hs").alias("total"))
-    share = F.col("n") / (F.col("total") - F.coalesce("n_common", F.lit(0)))
-    copied = best.join(total, key).join(common, key, "left").withColumn("share", share).where((F.col("share") >= CONTAINED) & (F.col("n") >= FEWEST_LINES))
-    flagged = kinds.where("kind is not null").select(key, "kind", "package", F.lit(None).cast("double").alias("share"))
-    return flagged.unionByName(copied.select(key, F.lit("copied").alias("kind"), "package", "share"))
+    both = f"{key} bigint, kind string, package string, hs array<bigint>"
+
+    def one(k, p, t):
+        if k is None:
+            return []
+        kind, package = classify(p, t)
+        return [(k, kind, package, line_hashes(t) if kind in (None, "vendored") else [])]
+
+    # one reading of the texts; what is kept of a file are its verdict and the hashes of its lines
+    files = cut(arrow_rows(df, [key, path, text], both, one).dropDuplicates([key]))
+    package = files.where("kind = 'vendored'").select("package", F.explode("hs").alias("h")).distinct()
+    frequency = package.groupBy("h").agg(F.count("*").alias("packages"))
+    open_ = files.where("kind is null and size(hs) > 0").select(key, "hs")
+    lines = open_.select(key, F.explode("hs").alias("h"))
+    # a line's repeats are counted before they meet its frequency; lines of no package have none, and are the rarest
+    known = lines.join(frequency, "h").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("packages", "h"))).alias("known"))
+    total = F.size("hs")
+    # of the rarest lines, those that no package has stand first
+    prefix = F.floor((1 - CONTAINED) * total + 1e-9).cast("int") + 1 - (total - F.size("known"))
+    rarest = open_.join(known, key).where(prefix > 0).select(key, F.explode(F.slice("known", F.lit(1), prefix)).alias("x")).select(key, F.col("x.h").alias("h"))
+    candidates = rarest.join(package, "h").select(key, "package").distinct()
+    shared = candidates.join(open_, key).select(key, "package", total.alias("total"), F.explode("hs").alias("h")).join(package, ["package", "h"])
+    share = shared.groupBy(key, "package").agg(F.count("*").alias("n"), F.max("total").alias("total")).withColumn("share", F.col("n") / F.col("total"))
+    best = share.where((F.col("share") >= CONTAINED) & (F.col("n") >= FEWEST_LINES)).groupBy(key).agg(F.max(F.struct("share", "package")).alias("b"))
+    flagged = files.where("kind is not null").select(key, "kind", "package", F.lit(None).cast("double").alias("share"))
+    return flagged.unionByName(best.select(key, F.lit("copied").alias("kind"), F.col("b.package").alias("package"), F.col("b.share").alias("share")))
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -285,7 +285,7 @@ def test_keywords_count_outside_comments_only():
 def test_nameless_packages_are_named_by_content(spark):
     notice = "// Released under the MIT license\n"
     code = [f"const value_{i} = compute_the_value({i}, 'some option');" for i in range(40)]
-    rows = [(i, f"r{i}/lib/x{i}/a.js", notice + "\n".join(code)) for i in range(P.COMMON + 4)]
+    rows = [(i, f"r{i}/lib/x{i}/a.js", notice + "\n".join(code)) for i in range(20)]
     rows += [(100, "src/own.js", "\n".join(code[:38] + ["const something_else = other_call();"]))]
     got = {r["file_id"]: (r["kind"], r["package"]) for r in P.provenance(spark.createDataFrame(rows, "file_id bigint, file_path string, content string")).collect()}
     assert len({p for i, (_, p) in got.items() if i < 100}) == 1
@@ -317,3 +317,16 @@ def test_documentation_is_inherited_within_a_class(spark):
     files = spark.createDataFrame([], "file_id bigint, file_path string, content string")
     got = {r["entity_id"]: r["description"] for r in D.documented(ents, files).where("inherited").collect()}
     assert got == {12: "Looks up what was stored under this key.", 23: "Looks up what was stored under the first."}
+
+
+def test_lines_of_many_packages_count(spark):
+    shared = [f"const shared_value_{i} = from_everywhere({i});" for i in range(30)]
+    rows = [(i, f"vendor/lib{i}/a.js", "\n".join(shared + [f"const only_{i} = something_of_package({i});"])) for i in range(40)]
+    rows += [(100, "src/copy.js", "\n".join(shared[:28] + ["const own_line_number_one = 1;"])), (101, "src/part.js", "\n".join(shared[:10] + [f"const own_line_number_{i} = {i};" for i in range(10)]))]
+    got = {r["file_id"]: (r["kind"], r["share"]) for r in P.provenance(spark.createDataFrame(rows, "file_id bigint, file_path string, content string")).collect()}
+    assert got[100][0] == "copied" and abs(got[100][1] - 28 / 29) < 1e-9 and 101 not in got
+
+
+@pytest.mark.parametrize("head, want", [("/*!\n * widget v1.5.7\n * (c) 2016 the widget project, MIT licensed\n */", "widget"), ("# @license grid-py 4.4\n# @copyright 2009 grid-py maintainers", "grid-py"), ("// Copyright the widget contributors.", None), ("// needs widget v1.5.7 or later", None), ("// widget v1.5.7", None)])
+def test_banners(head, want):
+    assert P.classify("lib/a.js", head + "\nf();\n") == (("vendored", want) if want else (None, None))
