@@ -1,14 +1,15 @@
 """Functions paired with their documentation (problem 6).
 
-Method: two symbol tables are built across all files. Declarations with their documentation come from the entities
-themselves (Python docstrings) and from the files (comment blocks that end on the line above a declaration); they are
-joined on file and line. A definition without documentation of its own takes that of a documented declaration of the
-same name in the same class (by the lines of the classes in its file, or the Go receiver) of its repository whose
-normalised signature agrees (an overload, an interface or a stub), and such rows are marked as inherited. One of the same
-module comes first; one of another module counts only if all of them say the same. Pairs with trivial documentation
-are dropped.
-
-Only comment blocks travel between the two sides, never whole files.
+Method: a qualified symbol table is built across all files: every declaration with its repository, its module, the classes
+around it (by the lines of the classes in its file, or the Go receiver), its name, its normalised signature and what
+documents it. Documentation comes from the entities themselves (Python docstrings) and from the files (comment
+blocks that end on the line above a declaration), joined on file and line. Each definition is then looked up in the table
+of documented declarations: it has its own documentation, or takes that of a declaration of the same qualified name
+whose signature agrees (an overload, an interface or a stub), and such rows are marked as inherited. One of the same
+module comes first; one of another module counts only if all of them say the same. What is trivial is dropped last, once
+all overloads are resolved.
+
+Only names, signatures and comment blocks travel between the sides; the code is joined to the pairs that are left.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, code_entities, entity_kind
+from .common import arrow_rows, code_entities, cut, entity_kind
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|[^\W\d_]+")
@@ -152,37 +153,40 @@ def enclosing(entities: DataFrame) -> DataFrame:
     return inside.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.negative("last").alias("last"), "name"))), lambda x: x["name"]), ".").alias("owner"))
 
 
-def documented(entities: DataFrame, files: DataFrame, fewest: int = 4, inherit: bool = True) -> DataFrame:
-    """(entity_id, repo, name, description, inherited, code) of functions and methods with non-trivial documentation.
-
-    Null contents, names or lines have no documentation of their own beyond what they still show; repeated rows of a key
-    count once. Where a line carries several blocks, the last one counts.
-    """
+def symbols(entities: DataFrame, files: DataFrame) -> DataFrame:
+    """(entity_id, repo, module, owner, name, sig, doc): every function and method with its qualified name, its normalised
+    signature and its own documentation, null where it has none. Each key once."""
     blocks = arrow_rows(files.where("content is not null and file_id is not null"), ["file_id", "content"], "file_id bigint, line int, style string, comment string", lambda k, t: [(k, *b) for b in comment_blocks(t)])
     blocks = blocks.where(F.length("comment") > 0).groupBy("file_id", "line", "style").agg(F.max("comment").alias("comment"))
-    code = code_entities(entities).where("entity_id is not null").dropDuplicates(["entity_id"]) if inherit else code_entities(entities)
+    code = code_entities(entities).where("entity_id is not null")
 
     def own(k, f, r, n, p, line, c):
         lang = language(p, c)
-        doc = docstring(c or "") if lang == "py" else None
-        return [(k, f, r, n, line, lang, doc, signature(c) if inherit else None, c if inherit else None, 0 if doc is None else description_words(doc, n))]
-
-    rows = arrow_rows(code, ["entity_id", "file_id", "repo", "name", "file_path", "start_line", "content"], "entity_id bigint, file_id bigint, repo string, name string, line int, lang string, doc string, sig string, code string, words int", own)
-    style = F.when(F.col("lang") == "go", "lines").when(F.col("lang") == "js", "block")
-    python, other = rows.where("lang = 'py'"), rows.where("lang <> 'py'").withColumn("style", style)
-    joined = other.join(blocks, ["file_id", "line", "style"], "left")
-    keep = ["entity_id", "repo", "name", "sig", "code"]
-    words = arrow_rows(joined, [*keep, "comment"], "entity_id bigint, repo string, name string, sig string, code string, doc string, words int", lambda k, r, n, s, c, d: [(k, r, n, s, c, d, description_words(d, n))])
-    every = python.select(*keep, "doc", "words").unionByName(words)
-    direct = every.where(F.col("words") >= fewest).select("entity_id", "repo", "name", F.col("doc").alias("description"), F.lit(False).alias("inherited"), "code", "sig")
-    if not inherit:
-        return direct.drop("sig")
-    places = arrow_rows(code, ["entity_id", "file_path", "content"], "entity_id bigint, module string, receiver string", lambda k, p, c: [(k, module(p), receiver(c) if language(p, c) == "go" else "")])
-    places = places.join(enclosing(entities), "entity_id", "left").select("entity_id", "module", F.coalesce("owner", "receiver").alias("owner"))
+        return [(k, f, r, n, line, {"go": "lines", "js": "block"}.get(lang), docstring(c or "") if lang == "py" else None, signature(c), module(p), receiver(c) if lang == "go" else "")]
+
+    schema = "entity_id bigint, file_id bigint, repo string, name string, line int, style string, doc string, sig string, module string, receiver string"
+    rows = arrow_rows(code, ["entity_id", "file_id", "repo", "name", "file_path", "start_line", "content"], schema, own).dropDuplicates(["entity_id"])
+    rows = rows.join(blocks, ["file_id", "line", "style"], "left").join(enclosing(entities), "entity_id", "left")
+    return rows.select("entity_id", "repo", "module", F.coalesce("owner", "receiver").alias("owner"), "name", "sig", F.coalesce("doc", "comment").alias("doc"))
+
+
+def documented(entities: DataFrame, files: DataFrame, fewest: int = 4, code: bool = True) -> DataFrame:
+    """(entity_id, repo, name, description, inherited[, code]) of functions and methods with non-trivial documentation.
+
+    Null contents, names or lines have no documentation of their own beyond what they still show; repeated rows of a key
+    count once. Where a line carries several blocks, the last one counts.
+    """
+    table = cut(symbols(entities, files))
     by = ["repo", "owner", "name", "sig"]
-    named = direct.join(places, "entity_id")
-    near = named.groupBy(*by, "module").agg(F.min_by("description", "entity_id").alias("near"))
-    far = named.groupBy(*by).agg(F.min("description").alias("far"), F.max("description").alias("other")).where("far = other").drop("other")
-    bare = every.where((F.col("words") < fewest) & F.col("doc").isNull()).select(*keep).join(places, "entity_id")
-    found = bare.join(near, [*by, "module"], "left").join(far, by, "left").withColumn("description", F.coalesce("near", "far")).where("description is not null")
-    return direct.drop("sig").unionByName(found.select("entity_id", "repo", "name", "description", F.lit(True).alias("inherited"), "code"))
+    named = table.where("doc is not null")
+    # declarations of one qualified name are folded before they are joined, so a common name is one row of the table
+    near = named.groupBy(*by, "module").agg(F.min_by("doc", "entity_id").alias("near"))
+    far = named.groupBy(*by).agg(F.min("doc").alias("far"), F.max("doc").alias("other")).where("far = other").drop("other")
+    resolved = table.join(near, [*by, "module"], "left").join(far, by, "left").withColumn("description", F.coalesce("doc", "near", "far")).where("description is not null")
+    rows = resolved.select("entity_id", "repo", "name", "description", F.col("doc").isNull().alias("inherited"))
+    keep = "entity_id bigint, repo string, name string, description string, inherited boolean"
+    pairs = arrow_rows(rows, rows.columns, keep, lambda k, r, n, d, i: [(k, r, n, d, i)] if description_words(d, n) >= fewest else [])
+    if not code:
+        return pairs
+    texts = code_entities(entities).select("entity_id", F.col("content").alias("code")).join(pairs.select("entity_id"), "entity_id", "left_semi").dropDuplicates(["entity_id"])
+    return pairs.join(texts, "entity_id")

@@ -62,7 +62,8 @@ def p5_rates(s, d):
 
 
 def p6_found(s, d):
-    return docpairs.documented(spread(_entities(s, d)), spread(_files(s, d)), inherit=False).select("entity_id").distinct()
+    # documentation of their own only, as the statement has it
+    return docpairs.documented(spread(_entities(s, d)), spread(_files(s, d)), code=False).where("not inherited").select("entity_id")
 
 
 def p6_pairs(s, d):

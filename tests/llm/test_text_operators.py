@@ -261,7 +261,7 @@ def test_documentation_pairs(spark):
     ents = spark.createDataFrame(rows, "entity_id bigint, file_id bigint, repo string, name string, entity_type string, file_path string, start_line int, content string").withColumn("comment", F.lit("clash"))
     got = {r["entity_id"]: r["inherited"] for r in D.documented(ents, files).collect()}
     assert got == {1: False, 4: False, 5: False, 7: True}
-    assert {r["entity_id"] for r in D.documented(ents, files, inherit=False).collect()} == {1, 4, 5}
+    assert {r["entity_id"] for r in D.documented(ents, files, code=False).where("not inherited").collect()} == {1, 4, 5}
     assert D.documented(ents.where("false"), files).count() == 0
 
 
