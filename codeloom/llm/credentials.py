@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 from functools import lru_cache
 from typing import NamedTuple
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame
 from .common import arrow_rows
 
 MASK = "*"
-_LONG_LINE = 20_000
 
 # One hit of these on a line makes the line a candidate; plain searches are far cheaper than one pattern.
 _STEMS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "credential", "login", "://", "curl", "mysql", "sshpass", "-u ", "--user")
@@ -31,7 +31,7 @@ _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 # quotes, joints and blanks around a piece of a literal; a plus beside none of them is base64
 _AROUND = re.compile(r"^(?:[\s,;()\\]|\+(?=[\s\"'`]|$))*[\"'`]*|[\"'`]*(?:[\s,;()\\]|(?<=[\s\"'`])\+)*$")
 _KEY_HEADER = re.compile(r"[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*: .*")
-_URL = re.compile(r"\b[a-z][a-z0-9+.\-]*://[^\s:/@'\"`<>{}]*:(?P<v>[^\s@'\"`]+)@(?=[\w\[])", re.I)
+_URL = re.compile(r"(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]*+://[^\s:/@'\"`<>{}]*:(?P<v>(?:(?!://)[^\s@'\"`])+)@(?=[\w\[])", re.I)
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 _STRONG = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode", "passwort", "secret", "secrets", "token", "tokens", "apikey", "credential", "credentials", "bearer", "auth", "authtoken", "accesskey", "secretkey"}
@@ -173,7 +173,7 @@ def read_value(text: str, at: int) -> tuple[str, tuple[tuple[int, int], ...]] |
 
 # name, optional closing quote and bracket, optional type, operator
 _ASSIGN = re.compile(
-    r"""(?P<q>["'`]?)(?P<name>[A-Za-z_][\w.\-]*)(?P=q)\s*\]?[ \t]*
+    r"""(?:(?P<q>["'`])|(?<![\w.])(?<!\w-))(?P<name>[A-Za-z_][\w.\-]*)(?(q)(?P=q))\s*\]?[ \t]*
         (?:(?::|\s)[ \t]*(?:const\s+)?[A-Za-z_][\w.\[\]<>|]*[ \t]*(?==[^=]))?
         (?P<op>:=|=>|=(?!=)|:(?!=)|,)[ \t]*""",
     re.X,
@@ -232,10 +232,14 @@ def find_spans(text: str | None, path: str | None) -> list[Span]:
     if not text:
         return []
     found: dict[int, Span] = {}
+    starts: list[int] = []  # of what is found, sorted; spans do not overlap
 
     def add(start: int, pieces: tuple[tuple[int, int], ...], kind: str) -> None:
-        if not any(s <= start < p[-1][1] for s, p, _ in found.values()):
-            found[start] = Span(start, pieces, kind)
+        at = bisect.bisect_right(starts, start)
+        if at and start < found[starts[at - 1]].pieces[-1][1]:
+            return
+        starts.insert(at, start)
+        found[start] = Span(start, pieces, kind)
 
     for m in _PRIVATE.finditer(text):
         following = _PRIVATE.search(text, m.end())
@@ -258,16 +262,13 @@ def find_spans(text: str | None, path: str | None) -> list[Span]:
         stop = text.find("\n", hit)
         stop = len(text) if stop < 0 else stop
         done = stop
-        if stop - begin > _LONG_LINE:  # minified: a window around each hit
-            begin, stop = max(begin, hit - 300), min(stop, hit + 2_000)
-            done = min(stop, hit + 1_000)
         line = text[begin:stop]
         if "://" in line:
             for m in _URL.finditer(line):
                 if usable(m["v"], "url"):
                     s = begin + m.start("v")
                     add(s, ((s, begin + m.end("v")),), "address")
-        for rx in (_HEADER, _CLI_USER, _CLI_PASS):
+        for rx in (_HEADER, _CLI_USER, _CLI_PASS) if " -p" in line or "\t-p" in line else (_HEADER, _CLI_USER):
             for m in rx.finditer(line):
                 if usable(m["v"], "strong"):
                     s = begin + m.start("v")
@@ -312,9 +313,9 @@ def find_spans(text: str | None, path: str | None) -> list[Span]:
     return [found[k] for k in sorted(found)]
 
 
-def redact_text(text: str | None, path: str | None) -> str | None:
+def redact_text(text: str | None, path: str | None, spans: list[Span] | None = None) -> str | None:
     """The text with the value of each credential masked, character by character; null stays null."""
-    spans = find_spans(text, path)
+    spans = find_spans(text, path) if spans is None else spans
     if not spans or text is None:
         return text
     out, last = [], 0
@@ -355,6 +356,7 @@ def redact(df: DataFrame, key: str = "file_id", path: str = "file_path", text: s
     """(key, n_credentials, redacted): the whole text with only secret values masked; null texts stay null."""
 
     def one(k, p, t):
-        return [(k, len(find_spans(t, p)), redact_text(t, p))]
+        spans = find_spans(t, p)
+        return [(k, len(spans), redact_text(t, p, spans))]
 
     return arrow_rows(df, [key, path, text], f"{key} bigint, n_credentials int, redacted string", one)

@@ -330,3 +330,16 @@ def test_lines_of_many_packages_count(spark):
 @pytest.mark.parametrize("head, want", [("/*!\n * widget v1.5.7\n * (c) 2016 the widget project, MIT licensed\n */", "widget"), ("# @license grid-py 4.4\n# @copyright 2009 grid-py maintainers", "grid-py"), ("// Copyright the widget contributors.", None), ("// needs widget v1.5.7 or later", None), ("// widget v1.5.7", None)])
 def test_banners(head, want):
     assert P.classify("lib/a.js", head + "\nf();\n") == (("vendored", want) if want else (None, None))
+
+
+def test_long_lines_are_read_like_short_ones():
+    noise = ";".join(f'a{i}="b{i}"' for i in range(6000))
+    for at in (0, 3000, 5999):
+        parts = noise.split(";")
+        parts.insert(at, f'x.apiKey="{KEY}"')
+        text = ";".join(parts)
+        spans = C.find_spans(text, "a.js")
+        assert [text[a:b] for s in spans for a, b in s.pieces] == [KEY]
+        assert C.redact_text(text, "a.js") == text.replace(KEY, "*" * len(KEY))
+    for text in ("ab12" * 50_000 + f'; token = "{KEY}"', "a-" * 50_000 + f' token = "{KEY}"', "://a." * 20_000 + f' token = "{KEY}"'):
+        assert len(C.find_spans(text, "a.js")) == 1
