@@ -39,12 +39,11 @@ def merge_baseline(baseline: DataFrame, findings: DataFrame, on: str = "hash") -
 def in_diff_scope(findings: DataFrame, ranges: DataFrame, path: str = "file_path", line: str = "line") -> DataFrame:
     """Findings with in_scope: no path, or a line in one of the file's changed ranges (path, start, end); an added file is a range from 1 on.
 
-    The join is on the path with the range as a residual condition, and ranges are counted per finding, so overlapping
-    ranges repeat nothing.
+    A file's ranges are one row, so a finding meets at most one and overlapping ranges repeat nothing.
     """
-    keyed = findings.withColumn("_id", F.monotonically_increasing_id())
-    hit = keyed.select("_id", path, line).join(ranges.select(F.col("file_path").alias(path), "start", "end"), path).where(F.col(line).between(F.col("start"), F.col("end"))).select("_id").distinct().withColumn("_hit", F.lit(True))
-    return keyed.join(hit, "_id", "left").withColumn("in_scope", F.col(path).isNull() | F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
+    spans = ranges.where("file_path is not null").groupBy(F.col("file_path").alias(path)).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    inside = F.exists("_spans", lambda r: (F.col(line) >= r["start"]) & (F.col(line) <= r["end"]))
+    return findings.join(spans, path, "left").withColumn("in_scope", F.col(path).isNull() | F.coalesce(inside, F.lit(False))).drop("_spans")
 
 
 def cleanup_map(findings: DataFrame) -> DataFrame:

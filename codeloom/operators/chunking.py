@@ -26,11 +26,17 @@ def with_overlap(pieces: str | Column, overlap: int) -> Column:
 
 
 def headings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, level, title) of headings outside code fences."""
-    lines = text_lines(df, key, text)
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    fenced = lines.withColumn("fences", F.coalesce(F.sum(F.col("line").startswith("```").cast("int")).over(w), F.lit(0)))
-    h = fenced.where((F.col("fences") % 2 == 0) & F.col("line").rlike(r"^#{1,6} +\S"))
+    """(key, line_no, level, title) of headings outside code fences. Fences are counted by a fold within the row, so no line is shuffled."""
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    # only headings and fences are kept, with their places
+    marks = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), x.startswith("```").alias("fence"))), lambda m: m["fence"] | m["line"].rlike(r"^#{1,6} +\S"))
+    empty = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line_no:int,line:string>>").alias("found"))
+
+    def step(acc, m):
+        more = F.when(acc["inside"], acc["found"]).otherwise(F.concat(acc["found"], F.array(F.struct(m["line_no"].alias("line_no"), m["line"].alias("line")))))
+        return F.when(m["fence"], F.struct((~acc["inside"]).alias("inside"), acc["found"].alias("found"))).otherwise(F.struct(acc["inside"].alias("inside"), more.alias("found")))
+
+    h = df.where(F.col(text).isNotNull()).select(key, F.explode(F.aggregate(marks, empty, step, lambda acc: acc["found"])).alias("m")).select(key, "m.*")
     return h.select(key, "line_no", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("line", "^#+ +", "")).alias("title"))
 
 

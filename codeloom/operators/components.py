@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every endpoint; a component is named by its smallest id.
 
     Alternates large-star and small-star steps, each an aggregation and a join on the vertex, until the edges no longer
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ids = clean.select("u").union(clean.select("v")).distinct()
     current = clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = None
-    for _ in range(max_rounds):
+    while True:  # the number of rounds grows with the logarithm of the longest path
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import style as S
-
-#: Rows a token table may have to be broadcast; a larger one is joined by ranges of its values.
+#: Tokens that are broadcast at once; a larger table is worked off in parts.
 MOST_TOKENS = 10_000
 
 
@@ -24,17 +22,46 @@ def nearest_number(df: DataFrame, value: str, scale: list[float], tolerance: flo
 def nearest_colour(df: DataFrame, colour: str, tokens: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """df with token, distance and match for #RRGGBBAA colours against tokens (name, value). Ties go to the smaller name.
 
-    Distinct colours are matched, not rows. The token table is checked to be small and then part of the plan; a larger
-    one is refused, since a design system of that size is a mistake.
+    Distinct colours are matched, not rows, each with all tokens as one product of matrices; tokens are broadcast
+    MOST_TOKENS at a time. Tokens and colours of another form match nothing.
     """
-    rows = tokens.select("name", "value").limit(MOST_TOKENS + 1).collect()
-    if len(rows) > MOST_TOKENS:
-        raise ValueError(f"more than {MOST_TOKENS} tokens")
-    if not rows:
-        return df.withColumn("token", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("double")).withColumn("match", F.lit(None).cast("string"))
-    options = F.array(*(F.struct(F.lit(r["name"]).alias("n"), F.lit(r["value"]).alias("v")) for r in rows))
-    best = F.array_min(F.transform(options, lambda t: F.struct(F.round(S.colour_distance(F.col(colour), t["v"]), 9).alias("d"), t["n"].alias("n"))))
-    kinds = df.select(colour).where(F.col(colour).isNotNull()).distinct().withColumn("_b", best)
+    import numpy as np
+    import pyarrow as pa
+
+    spark, form = df.sparkSession, r"^#[0-9A-Fa-f]{8}$"
+    distinct = df.select(F.col(colour).alias("c")).where(F.col(colour).rlike(form)).distinct()
+    channels = lambda values: np.frombuffer(bytes.fromhex("".join(v[1:] for v in values)), np.uint8).reshape(-1, 4).astype(np.float64)
+    kind = "c string, d double, n string"
+
+    def part(rows: list) -> DataFrame:
+        rows = sorted((r["name"], r["value"]) for r in rows)  # of equal distances the first name
+        shared = spark.sparkContext.broadcast(([n for n, _ in rows], channels([v for _, v in rows])))
+
+        def run(batches):
+            names, t = shared.value
+            for b in batches:
+                values = b.column(0).to_pylist()
+                for i in range(0, len(values), 1000):
+                    some = values[i : i + 1000]
+                    x = channels(some)
+                    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2 * x @ t.T, 0)) / 510.0
+                    at = d.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.round(d[np.arange(len(some)), at], 9)), pa.array([names[k] for k in at])], names=["c", "d", "n"])
+
+        return distinct.mapInArrow(run, kind)
+
+    parts, held = [], []
+    for r in tokens.select("name", "value").where(F.col("name").isNotNull() & F.col("value").rlike(form)).toLocalIterator():
+        held.append(r)
+        if len(held) == MOST_TOKENS:
+            parts.append(part(held))
+            held = []
+    if held or not parts:
+        parts.append(part(held) if held else spark.createDataFrame([], kind))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    kinds = every.groupBy(F.col("c").alias(colour)).agg(F.min(F.struct("d", "n")).alias("_b"))
     match = F.when(F.col("_b").isNull(), None).when(F.col("_b.d") == 0, "exact").when(F.col("_b.d") <= tolerance, "near").otherwise("off_scale")
     return df.join(kinds, colour, "left").withColumn("token", F.col("_b.n")).withColumn("distance", F.col("_b.d")).withColumn("match", match).drop("_b")
 
@@ -108,11 +135,12 @@ def pairwise_within(df: DataFrame, block: str, key: str, vector: str, threshold:
     import pandas as pd
 
     tile = 512
-    w = Window.partitionBy(block).orderBy(key)
-    tiled = df.where(F.col(vector).isNotNull()).select(F.col(block).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"), F.floor((F.row_number().over(w) - 1) / tile).cast("int").alias("t"))
-    most = tiled.groupBy("g").agg(F.max("t").alias("m"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(block).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
+    # blocks are counted by an aggregation, and a row's tile goes by its hash, so that no block passes through one task
+    most = rows.groupBy("g").agg((F.ceil(F.count("*") / tile) - 1).cast("int").alias("m"))
+    tiled = rows.join(most, "g").select("g", "k", "v", "m", F.pmod(F.xxhash64("k"), F.col("m") + 1).cast("int").alias("t"))
     # a row of tile t takes part in the tasks (i, t) with i <= t and (t, j) with j > t
-    sent = tiled.join(most, "g").select("g", "k", "v", "t", F.explode(F.transform(F.sequence(F.lit(0), F.col("m")), lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")))).alias("p"))
+    sent = tiled.select("g", "k", "v", "t", F.explode(F.transform(F.sequence(F.lit(0), F.col("m")), lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")))).alias("p"))
 
     def compare(pdf):
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]

@@ -16,12 +16,14 @@ def by_each(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def percentile_by_rank(df: DataFrame, group: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """For each p the value at position min(floor(n p), n - 1) of the sorted values, counted from 0. Nulls are left out.
 
-    Values are counted first, so a group with a third of all rows shrinks to its distinct values before it is ordered.
+    Values are counted first, then range-sorted over all groups with offsets per range, so a group with a third of all rows
+    is spread over the ranges and no task orders a whole group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*group).orderBy(value)
-    total = Window.partitionBy(*group)
-    c = counts.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(total))
+    rows = _ranged(counts, [*group, value], F.col("k"), "upto")[0]
+    total = rows.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.sum("k").alias("n"), F.min(F.col("upto") - F.col("k")).alias("_before"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    c = rows.join(total, same).withColumn("upto", F.col("upto") - F.col("_before"))
     place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
     return c.groupBy(*group).agg(*(F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(name) for name, p in ps.items()))
 

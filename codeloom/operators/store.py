@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -63,7 +64,7 @@ def priority(impact: str, effort: str, dependencies: str, weight: float = 0.5, p
     return F.greatest(F.lit(0.0), F.col(impact) / (1 + F.col(effort) * weight) - F.col(dependencies) * penalty)
 
 
-def topological_levels(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """(id, level): the longest way from a vertex without predecessors; vertices on a circle are not in the result. edges (before, after)."""
     from ..session import ensure_checkpoint_dir
 
@@ -71,7 +72,7 @@ def topological_levels(edges: DataFrame, rounds: int = 50) -> DataFrame:
     e = edges.where("before is not null and after is not null and before <> after").select("before", "after").distinct().checkpoint()
     left = e.select(F.col("before").alias("id")).union(e.select(F.col("after").alias("id"))).distinct().checkpoint()
     done = None
-    for level in range(rounds):
+    for level in itertools.count():  # as many rounds as the longest way has vertices
         free = left.join(e.select(F.col("after").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if free.isEmpty():
             break
@@ -81,19 +82,46 @@ def topological_levels(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return done if done is not None else left.withColumn("level", F.lit(0)).where("false")
 
 
-def min_hash(features: str | Column, n: int = 16, seed: int = 42) -> Column:
-    """n least values of (a h + b) mod p over the features' hashes, p = 4294967311; zeros for no features.
+def min_hash(df: DataFrame, key: str, features: str, n: int = 128, seed: int = 42) -> DataFrame:
+    """(key, signature): n least values of (a h + b) mod p over a row's features; n zeros for no features, null for null.
 
-    Hashes are cut to 32 bits and coefficients stay under 2^31, so that products fit a LONG.
+    h is the first 32 bits of a feature's MD5. A batch's different features are hashed once, and the permutations are array
+    operations over unsigned 64-bit numbers, in which no product overflows.
     """
+    import hashlib
     import random
 
+    import numpy as np
+    import pyarrow as pa
+
+    # fixed values: the prime, and coefficients below 2^32 drawn from this generator, first all a, then all b
+    p, most = 4294967311, 2**32 - 1
     r = random.Random(seed)
-    p = 4294967311
-    pairs = [(r.randrange(1, 1 << 30), r.randrange(1 << 30)) for _ in range(n)]
-    h = F.transform(_c(features), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
-    least = lambda a, b: F.coalesce(F.array_min(F.transform(h, lambda x: (x * a + b) % p)), F.lit(0).cast("bigint"))
-    return F.array(*(least(a, b) for a, b in pairs))
+    a = np.array([r.randint(1, most) for _ in range(n)], np.uint64)
+    b = np.array([r.randint(0, most) for _ in range(n)], np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            words = sorted({w for ws in lists if ws for w in ws if w is not None})
+            place = {w: i for i, w in enumerate(words)}
+            h = np.array([int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) for w in words], np.uint64)
+            signed = (h[:, None] * a + b) % np.uint64(p)
+            out = []
+            for ws in lists:
+                at = [place[w] for w in ws if w is not None] if ws else []
+                out.append(None if ws is None else signed[at].min(axis=0).astype(np.int64).tolist() if at else [0] * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[key, "signature"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, features).mapInArrow(run, f"{key} {kind}, signature array<bigint>")
+
+
+def min_hash_similarity(a: str | Column, b: str | Column) -> Column:
+    """The share of equal places of two signatures; null if their lengths differ, 0 for empty ones."""
+    x, y = _c(a), _c(b)
+    same = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: z["x"] == z["y"]))
+    return F.when(F.size(x) != F.size(y), None).when(F.size(x) == 0, 0.0).otherwise(same / F.size(x))
 
 
 def markdown_to_html(text: str | Column) -> Column:

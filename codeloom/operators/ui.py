@@ -24,7 +24,7 @@ def rule_sets(sheets: DataFrame) -> DataFrame:
     rows = sheets.where("content is not null").select("file_path", bare.alias("b"), F.explode(sets).alias("r"))
     selector = F.trim(F.regexp_replace(F.substring_index("r", "{", 1), r"(?s)^.*[;>](?=\s*[^;>]+$)", ""))
     body = F.regexp_replace(F.substring_index(F.substring_index("r", "{", -1), "}", 1), r"\s*;\s*$", "")
-    pairs = F.filter(F.transform(F.split(body, ";"), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("key"), F.trim(F.substring(p, F.instr(p, F.lit(":")) + 1, F.lit(10_000))).alias("value"))), lambda p: (p["key"] != "") & (p["value"] != ""))
+    pairs = F.filter(F.transform(F.split(body, ";"), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("key"), F.trim(F.substring(p, F.instr(p, F.lit(":")) + 1, F.length(p))).alias("value"))), lambda p: (p["key"] != "") & (p["value"] != ""))
     # the last declaration of a name counts
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
     line = F.size(F.split(F.substring(F.col("b"), F.lit(1), F.instr("b", F.trim("r"))), "\n"))

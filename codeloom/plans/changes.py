@@ -113,5 +113,5 @@ def rename_paths(s, d):
     path = X.clean_path("file_path")
     new = path
     for a, b in (("src/core/", "core/"), ("lib/", "library/"), ("tools/", "scripts/")):
-        new = F.when(path.startswith(a), F.concat(F.lit(b), F.substring(path, len(a) + 1, 10_000))).otherwise(new)
+        new = F.when(path.startswith(a), F.concat(F.lit(b), F.substring(path, F.lit(len(a) + 1), F.length(path)))).otherwise(new)
     return _files(s, d).select("file_id", new.alias("file_path"))

@@ -97,7 +97,7 @@ def dependency_order(s, d):
 
 @query()
 def minhash_signatures(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(P.min_hash(X.tokens("text"))).alias("i", "h"))
+    return table(s, d, "documents").select("doc_id", X.tokens("text").alias("ws")).transform(lambda t: P.min_hash(t, "doc_id", "ws")).select("doc_id", F.posexplode("signature").alias("i", "h"))
 
 
 @query(r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '(?m)^### +(.*)$', '<h3>\1</h3>', 'g'), '(?m)^## +(.*)$', '<h2>\1</h2>', 'g'), '(?m)^# +(.*)$', '<h1>\1</h1>', 'g'),

@@ -100,12 +100,21 @@ def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, trigger: str = ON_CO
             c &= ~F.get(F.col("_has"), F.lit(asked.index(r.no_file)))
         return F.when(c, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity")))
 
-    lines = F.split("content", "\n")
-    pairs = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
     ext = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
-    rows = tested.where("content is not null").select("file_id", "file_path", ext.alias("ext"), "_has", F.explode(pairs).alias("p")).select("file_id", "file_path", "ext", "_has", "p.*")
+    lines = F.split("content", "\n")
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+    # one alternation per language says which lines any rule asks about; only these become rows
+    branches = None
+    for e in sorted({x for r in chosen for x in r.languages}):
+        any_of = "|".join(f"(?:{r.line})" for r in chosen if e in r.languages)
+        kept = F.filter(numbered, (lambda rx: lambda p: p["line"].rlike(rx))(any_of))
+        branches = F.when(F.col("ext") == e, kept) if branches is None else branches.when(F.col("ext") == e, kept)
+    if branches is None:
+        return files.where("false").select("file_id", "file_path", F.lit(0).alias("line_no"), F.lit("").alias("rule_id"), F.lit("").alias("severity"))
+    rows = tested.where("content is not null").select("file_id", "file_path", ext.alias("ext"), "content", "_has").select("file_id", "file_path", "ext", "_has", F.explode(branches).alias("p")).select("file_id", "file_path", "ext", "_has", "p.*")
     found = rows.select("file_id", "file_path", "line_no", F.explode(F.array_distinct(F.array_compact(F.array(*(hit(r) for r in chosen))))).alias("f"))
-    return found.select("file_id", "file_path", "line_no", "f.rule_id", "f.severity")
+    # redelivered files give the same findings again
+    return found.select("file_id", "file_path", "line_no", "f.rule_id", "f.severity").dropDuplicates(["file_id", "line_no", "rule_id"])
 
 
 def scan_sql(files: str, rules: tuple[Rule, ...] = RULES) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,18 @@ def latest(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set and the master is local.
+
+    On a cluster a machine-local folder would be lost with its machine, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/codeloom-checkpoints-{os.getuid()}"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or f"file://{tempfile.gettempdir()}/codeloom-checkpoints-{os.getuid()}"
     sc.setCheckpointDir(path)
     return path
 

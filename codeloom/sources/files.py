@@ -47,7 +47,7 @@ def parse_chats(lines: DataFrame, column: str = "value") -> DataFrame:
 def css_tokens(sheets: DataFrame, column: str = "content") -> DataFrame:
     """(name, value, category) of custom properties: colours, sizes of fonts, spacing, others."""
     pairs = F.regexp_extract_all(column, F.lit(r"--([\w-]+\s*:[^;}]+)"), F.lit(1))
-    rows = sheets.select(F.explode(pairs).alias("p")).select(F.trim(F.substring_index("p", ":", 1)).alias("name"), F.trim(F.substring(F.col("p"), F.instr("p", ":") + 1, F.lit(10_000))).alias("value"))
+    rows = sheets.select(F.explode(pairs).alias("p")).select(F.trim(F.substring_index("p", ":", 1)).alias("name"), F.trim(F.substring(F.col("p"), F.instr("p", ":") + 1, F.length("p"))).alias("value"))
     category = F.when(F.col("value").rlike(r"(?i)^(#[0-9a-f]{3,8}|rgba?\(|hsla?\()"), "colour").when(F.col("name").rlike("font|text"), "font_size").when(F.col("name").rlike("radius|rounded"), "radius").when(F.col("value").rlike(r"^-?[0-9.]+(px|rem|em)$"), "spacing").otherwise("other")
     return rows.withColumn("category", category)
 

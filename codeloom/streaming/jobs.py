@@ -52,8 +52,8 @@ def upsert_parquet(spark: SparkSession, batch: DataFrame, target: str, key: str,
         return path
     before = [v for v in done if v < version]
     rows = spark.read.parquet(f"{target}/v{before[-1]}").unionByName(batch, allowMissingColumns=True) if before else batch
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    rows.withColumn("_n", F.row_number().over(w)).where("_n = 1 and coalesce(status, '') <> 'deleted'").drop("_n").write.mode("overwrite").parquet(path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+    last.where("coalesce(status, '') <> 'deleted'").write.mode("overwrite").parquet(path)
     return path
 
 
