@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+#: Before and after a word of ASCII letters, digits and underscores.
+_EDGE = ("(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])")
+
+
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -46,7 +50,7 @@ def normalise_code(code: str | Column) -> Column:
 def mask_literals(code: str | Column) -> Column:
     """Strings and numbers replaced by placeholders, so that code of the same shape is equal."""
     x = F.regexp_replace(_c(code), r'"[^"\n]*"' + r"|'[^'\n]*'", "STR")
-    return F.regexp_replace(x, r"\b[0-9]+(?:\.[0-9]+)?\b", "NUM")
+    return F.regexp_replace(x, rf"{_EDGE[0]}[0-9]+(?:\.[0-9]+)?{_EDGE[1]}", "NUM")
 
 
 def called_names(code: str | Column) -> Column:
@@ -72,7 +76,7 @@ def complexity(code: str | Column) -> Column:
     """One plus the decision points on lines that are not comments."""
     lines = F.filter(F.split(_c(code), "\n"), lambda x: ~x.rlike(r"^\s*(#|//|\*)"))
     body = F.array_join(lines, "\n")
-    return (F.lit(1) + F.regexp_count(body, F.lit(r"\b(?:if|elif|for|while|case|catch|except)\b")) + F.regexp_count(body, F.lit(r"&&|\|\||\band\b|\bor\b"))).cast("int")
+    return (F.lit(1) + F.regexp_count(body, F.lit(rf"{_EDGE[0]}(?:if|elif|for|while|case|catch|except){_EDGE[1]}")) + F.regexp_count(body, F.lit(rf"&&|\|\||{_EDGE[0]}(?:and|or){_EDGE[1]}"))).cast("int")
 
 
 def estimated_tokens(text: str | Column) -> Column:

@@ -116,14 +116,16 @@ def cluster_summary(clustered: DataFrame, key: str, cluster: str, file: str) ->
 def drift_score(a: str, b: str) -> Column:
     """How far two pieces of code drifted apart, from 0 to 1: structure and logic 0.3 each, errors and comments 0.2 each.
 
-    Every part is the relative difference of pattern counts.
+    Every part is the relative difference of pattern counts. Words are bounded by anything but ASCII letters, digits and
+    underscores, and lines by line feeds.
     """
+    word = lambda rx: rf"(?<![A-Za-z0-9_])(?:{rx})(?![A-Za-z0-9_])"
 
     def part(rx: str) -> Column:
         x, y = F.regexp_count(F.col(a), F.lit(rx)), F.regexp_count(F.col(b), F.lit(rx))
         return F.abs(x - y) / F.greatest(x, y, F.lit(1))
 
-    return 0.3 * part(r"\b(?:def|class|function|func)\b") + 0.3 * part(r"\b(?:if|for|while|switch)\b") + 0.2 * part(r"\b(?:try|except|catch|raise|throw)\b") + 0.2 * part(r"(?m)^\s*(?:#|//|\*)")
+    return 0.3 * part(word("def|class|function|func")) + 0.3 * part(word("if|for|while|switch")) + 0.2 * part(word("try|except|catch|raise|throw")) + 0.2 * part(r"(?dm)^\s*(?:#|//|\*)")
 
 
 def pairwise_within(df: DataFrame, block: str, key: str, vector: str, threshold: float) -> DataFrame:

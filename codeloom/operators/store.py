@@ -125,11 +125,11 @@ def min_hash_similarity(a: str | Column, b: str | Column) -> Column:
 
 
 def markdown_to_html(text: str | Column) -> Column:
-    """Headings, bold, code, links and list items of Markdown as HTML; other text stays."""
+    """Headings, bold, code, links and list items of Markdown as HTML; other text stays. Lines end at line feeds only."""
     x = _c(text)
     for pattern, to in (
-        ("&", "&amp;"), ("<", "&lt;"), (r"(?m)^### +(.*)$", "<h3>$1</h3>"), (r"(?m)^## +(.*)$", "<h2>$1</h2>"), (r"(?m)^# +(.*)$", "<h1>$1</h1>"), (r"\*\*([^*\n]+)\*\*", "<b>$1</b>"), (r"`([^`\n]+)`", "<code>$1</code>"),
-        (r"\[([^\]\n]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>'), (r"(?m)^[-*] +(.*)$", "<li>$1</li>"),
+        ("&", "&amp;"), ("<", "&lt;"), (r"(?dm)^### +(.*)$", "<h3>$1</h3>"), (r"(?dm)^## +(.*)$", "<h2>$1</h2>"), (r"(?dm)^# +(.*)$", "<h1>$1</h1>"), (r"\*\*([^*\n]+)\*\*", "<b>$1</b>"), (r"`([^`\n]+)`", "<code>$1</code>"),
+        (r"\[([^\]\n]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>'), (r"(?dm)^[-*] +(.*)$", "<li>$1</li>"),
     ):
         x = F.regexp_replace(x, pattern, to)
     return x

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-_MODULES = ("search", "graph", "stats", "changes", "texts", "rules", "styles", "events", "store", "reports")
+_MODULES = ("search", "graph", "stats", "changes", "texts", "rules", "styles", "events", "store", "reports", "services", "structures")
 
 
 def _load() -> None:

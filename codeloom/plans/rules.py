@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..session import table
+from ..session import latest, table
 from .graph import _E, _P, _entities, _files
 from .registry import query
 
@@ -75,12 +75,11 @@ def rule_component_duplication(s, d):
 
 @query(rf"""
     with c as (select entity_id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: not regexp_matches(x, '^\s*(#|//|\*)')), chr(10)) as b from {_E} where content is not null and lower(trim(entity_type)) in ('function', 'method')),
-    k as (select entity_id, (1 + len(regexp_extract_all(b, '\b(?:if|elif|for|while|case|catch|except)\b')) + len(regexp_extract_all(b, '&&|\|\||\band\b|\bor\b')))::int as complexity from c where not regexp_matches(b, '[^\x00-\x7f]'))
+    k as (select entity_id, (1 + len(regexp_extract_all(b, '\b(?:if|elif|for|while|case|catch|except)\b')) + len(regexp_extract_all(b, '&&|\|\||\band\b|\bor\b')))::int as complexity from c)
     select entity_id, complexity, case when complexity > 15 then 'HIGH' else 'MEDIUM' end as severity from k where complexity > 10""")
 def rule_complexity(s, d):
-    e = _entities(s, d).where("content is not null and lower(trim(entity_type)) in ('function', 'method')")
-    body = F.array_join(F.filter(F.split("content", "\n"), lambda x: ~x.rlike(r"^\s*(#|//|\*)")), "\n")
-    k = e.where(~body.rlike(r"[^\x00-\x7f]")).select("entity_id", X.complexity("content").alias("complexity")).where("complexity > 10")
+    e = table(s, d, "entities").where("content is not null and lower(trim(entity_type)) in ('function', 'method')")
+    k = latest(e.select("entity_id", X.complexity("content").alias("complexity")), "entity_id").where("complexity > 10")
     return k.withColumn("severity", F.when(F.col("complexity") > 15, "HIGH").otherwise("MEDIUM"))
 
 

@@ -101,9 +101,9 @@ def minhash_signatures(s, d):
 
 
 @query(r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '(?m)^### +(.*)$', '<h3>\1</h3>', 'g'), '(?m)^## +(.*)$', '<h2>\1</h2>', 'g'), '(?m)^# +(.*)$', '<h1>\1</h1>', 'g'),
-    '\*\*([^*\n]+)\*\*', '<b>\1</b>', 'g'), '`([^`\n]+)`', '<code>\1</code>', 'g'), '\[([^\]\n]+)\]\(([^)\s]+)\)', '<a href="\2">\1</a>', 'g'), '(?m)^[-*] +(.*)$', '<li>\1</li>', 'g')) as hash from documents where not regexp_matches(text, '\r')""")
+    '\*\*([^*\n]+)\*\*', '<b>\1</b>', 'g'), '`([^`\n]+)`', '<code>\1</code>', 'g'), '\[([^\]\n]+)\]\(([^)\s]+)\)', '<a href="\2">\1</a>', 'g'), '(?m)^[-*] +(.*)$', '<li>\1</li>', 'g')) as hash from documents""")
 def markdown_html(s, d):
-    return table(s, d, "documents").where(~F.col("text").contains("\r")).select("doc_id", F.md5(P.markdown_to_html("text")).alias("hash"))
+    return table(s, d, "documents").select("doc_id", F.md5(P.markdown_to_html("text")).alias("hash"))
 
 
 @query(f"""

@@ -103,10 +103,9 @@ def _parts(e: str, rx: str) -> str:
 @query(rf"""
     with e as {_E}
     select a.analysis_id, round(0.3 * {_parts('', r'\b(?:def|class|function|func)\b')} + 0.3 * {_parts('', r'\b(?:if|for|while|switch)\b')} + 0.2 * {_parts('', r'\b(?:try|except|catch|raise|throw)\b')} + 0.2 * {_parts('', r'(?m)^\s*(?:#|//|\*)')}, 6) as drift
-    from {_A} a join e x on x.entity_id = a.source_id join e y on y.entity_id = a.candidate_id
-    where not regexp_matches(x.content, '[^\x00-\x7f]') and not regexp_matches(y.content, '[^\x00-\x7f]')""")
+    from {_A} a join e x on x.entity_id = a.source_id join e y on y.entity_id = a.candidate_id""")
 def drift_scores(s, d):
-    e = _entities(s, d).where(~F.col("content").rlike(r"[^\x00-\x7f]")).select("entity_id", "content")
+    e = _entities(s, d).select("entity_id", "content")
     a = _analyses(s, d).select("analysis_id", "source_id", "candidate_id")
     j = a.join(e.toDF("source_id", "x"), "source_id").join(e.toDF("candidate_id", "y"), "candidate_id")
     return j.select("analysis_id", F.round(G.drift_score("x", "y"), 6).alias("drift"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H, text as X
 from ..operators import chunking as K
-from ..session import spread, table
+from ..session import latest, spread, table
 from .graph import _E, _P, _entities, _files
 from .registry import query
 from .search import _TOKENS
@@ -107,9 +107,9 @@ def code_normalise(s, d):
     return _entities(s, d).select("entity_id", F.md5(X.normalise_code("content")).alias("hash"))
 
 
-@query(rf"""select entity_id, md5(regexp_replace(regexp_replace(content, '"[^"\n]*"|''[^''\n]*''', 'STR', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', 'NUM', 'g')) as hash from {_E} where ascii(content) is not null and not regexp_matches(content, '[^\x00-\x7f]')""")
+@query(rf"""select entity_id, md5(regexp_replace(regexp_replace(content, '"[^"\n]*"|''[^''\n]*''', 'STR', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', 'NUM', 'g')) as hash from {_E}""")
 def literal_masking(s, d):
-    return _entities(s, d).where(~F.col("content").rlike(r"[^\x00-\x7f]")).select("entity_id", F.md5(X.mask_literals("content")).alias("hash"))
+    return latest(table(s, d, "entities").select("entity_id", F.md5(X.mask_literals("content")).alias("hash")), "entity_id")
 
 
 @query(f"""select entity_id, name, case when regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') then 'snake' when regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') then 'upper' when regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') then 'pascal'
@@ -120,11 +120,9 @@ def naming_styles(s, d):
 
 @query(rf"""
     with c as (select entity_id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: not regexp_matches(x, '^\s*(#|//|\*)')), chr(10)) as b from {_E} where content is not null)
-    select entity_id, (1 + len(regexp_extract_all(b, '\b(?:if|elif|for|while|case|catch|except)\b')) + len(regexp_extract_all(b, '&&|\|\||\band\b|\bor\b')))::int as complexity from c where not regexp_matches(b, '[^\x00-\x7f]')""")
+    select entity_id, (1 + len(regexp_extract_all(b, '\b(?:if|elif|for|while|case|catch|except)\b')) + len(regexp_extract_all(b, '&&|\|\||\band\b|\bor\b')))::int as complexity from c""")
 def cyclomatic_complexity(s, d):
-    e = _entities(s, d).where("content is not null")
-    body = F.array_join(F.filter(F.split("content", "\n"), lambda x: ~x.rlike(r"^\s*(#|//|\*)")), "\n")
-    return e.where(~body.rlike(r"[^\x00-\x7f]")).select("entity_id", X.complexity("content").alias("complexity"))
+    return latest(table(s, d, "entities").where("content is not null").select("entity_id", X.complexity("content").alias("complexity")), "entity_id")
 
 
 @query(rf"""
