@@ -33,7 +33,8 @@ SLOTS = 1 << 14
 RANK, OVERSAMPLE = 96, 16
 DOC_WINDOW, DOC_STEP = 26, 13
 ITEM_STEP = 3
-COSINE, PARAPHRASE_COSINE, SUBSEQUENCE = 0.35, 0.8, 0.6
+#: A passage is twice as wide as an item's, so even one that holds it whole comes to about 0.7.
+COSINE, PARAPHRASE_COSINE, SUBSEQUENCE = 0.35, 0.45, 0.6
 #: Item windows that are searched at once; the bound of what is broadcast is this times RANK floats (4 MB).
 MOST_WINDOWS = 10_000
 #: Words of the documents on which the space is fitted, at most about so many, in so many partitions.
@@ -308,6 +309,9 @@ def _search(items, space, run: int, cosine: float, paraphrases: bool):
                             continue
                         a, b = max(int(off[r]), int(start[w[x]]) - len(mine)), min(int(off[r + 1]), int(end[w[x]]) + len(mine))
                         around = part[a:b]
+                        # words in common bound the subsequence
+                        if np.isin(mine, around).sum() < SUBSEQUENCE * len(mine):
+                            continue
                         if longest_subsequence(mine, around) >= SUBSEQUENCE * len(mine) and (not len(answer) or np.isin(answer, around).all()):
                             out[name] = ("paraphrase", longest_run(mine, around), float(cos[x]))
             if out:

@@ -99,7 +99,8 @@ _ENTITY = "(select * from entities qualify row_number() over (partition by entit
 
 
 def oracle_sql() -> dict[str, str]:
-    """p1 compares all pairs with a common word, exactly; p8 all runs of 13 words. The others have no SQL."""
+    """p1 compares all pairs with a common word, exactly, and its groups are the closure of these pairs; p8 compares all runs of 13
+    words. The others have no SQL."""
     return {
         "p3_found": "select distinct entity_id from entities where length(content) > 2000",
         "p1_found": f"""
@@ -108,6 +109,20 @@ def oracle_sql() -> dict[str, str]:
             size as (select entity_id, sum(n) as n from tf group by all having sum(n) >= 25),
             common as (select a.entity_id as ea, b.entity_id as eb, sum(least(a.n, b.n)) as c from tf a join tf b on a.word = b.word and a.entity_id < b.entity_id group by all)
             select ea as entity_id_a, eb as entity_id_b from common join size x on x.entity_id = ea join size y on y.entity_id = eb where 2 * c >= 0.8 * (x.n + y.n)""",
+        "p1_groups": f"""
+            with recursive w as (select entity_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) as word from {_ENTITY} where lower(trim(entity_type)) in ('function', 'method')),
+            tf as (select entity_id, word, count(*) as n from w group by all),
+            size as (select entity_id, sum(n) as n, string_agg(word || ':' || n, ' ' order by word) as bag from tf group by entity_id having sum(n) >= 25),
+            class as (select entity_id, n, min(entity_id) over (partition by bag) as class_id from size),
+            rep as (select class_id, any_value(n) as n from class group by class_id),
+            ct as (select entity_id, word, n from tf where entity_id in (select class_id from rep)),
+            common as (select a.entity_id as ea, b.entity_id as eb, sum(least(a.n, b.n)) as c from ct a join ct b on a.word = b.word and a.entity_id < b.entity_id group by all),
+            pair as (select ea, eb from common join rep x on x.class_id = ea join rep y on y.class_id = eb where 2 * c >= 0.8 * (x.n + y.n)),
+            twoway as (select ea as a, eb as b from pair union all select eb, ea from pair),
+            reach as (select class_id as a, class_id as b from rep union select r.a, t.b from reach r join twoway t on t.a = r.b),
+            grp as (select a as class_id, min(b) as group_id from reach group by a),
+            deg as (select a as class_id, count(*) as links from twoway group by a)
+            select entity_id, group_id, class_id, coalesce(links, 0) as links from class join grp using (class_id) left join deg using (class_id)""",
         "p8_found": r"""
             with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from (select doc_id, any_value(text) as text from documents group by doc_id)),
             dg as (select doc_id, array_to_string(w[i : i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),

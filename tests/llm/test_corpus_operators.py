@@ -215,3 +215,61 @@ def test_end_contexts_agree_with_the_scan():
         for order, h, own in zip(T.ORDERS, hashes, T.end_contexts(text)):
             if n >= order:
                 assert int(h[last[0]].astype(np.int64)) == own
+
+
+@pytest.mark.parametrize("size", [120, 500])
+def test_recall_within_a_large_group(spark, size):
+    # edits are words of a vocabulary of their own, so the rarest words are those in which copies differ
+    r = random.Random(size)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(size):
+        words = list(base)
+        for i in r.sample(range(60), r.randrange(2, 7)):
+            words[i] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(400)]
+    bags = [Counter(t.split()) for t in texts[:size]]
+    sim = {(i, j): sum((bags[i] & bags[j]).values()) / 60 for i, j in itertools.combinations(range(size), 2)}
+    want, low = {p for p, s in sim.items() if s >= 0.8 - 1e-9}, {p for p, s in sim.items() if 0.8 - 1e-9 <= s <= 0.86}
+    got = {(x["a"], x["b"]) for x in N.near_duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "entity_id bigint, content string")).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(got & low) >= 0.95 * len(low)
+
+
+def test_shingles_of_five_words_see_the_order(spark):
+    r = random.Random(9)
+    words = [r.choice(WORDS) for _ in range(80)]
+    shuffled = list(words)
+    r.shuffle(shuffled)
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:79])), (3, " ".join(shuffled)), (4, "a b c")], "entity_id bigint, content string")
+    assert [(x["a"], x["b"]) for x in N.near_duplicate_pairs(df, shingle=5).collect()] == [(1, 2)]
+    assert N.near_duplicate_pairs(df).count() == 3
+
+
+def test_sketches_never_lose_a_pair():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 300, 80)).astype(np.int64) << 8 for _ in range(2))
+        ta, tb = r.integers(1, 400, len(a)), r.integers(1, 400, len(b))
+        x, y = N.sketches(a, ta, np.array([len(a)]))[0], N.sketches(b, tb, np.array([len(b)]))[0]
+        common = sum(min(p, q) for w, p in zip(a, ta) for v, q in zip(b, tb) if w == v)
+        least = np.minimum(x, y)
+        assert (least == 255).any() or least.sum(dtype=int) >= common
+
+
+def test_paraphrases_are_found(spark):
+    r = random.Random(11)
+    items = [(i, [r.choice(WORDS) for _ in range(30)], f"answer{i}") for i in range(20)]
+    docs = []
+    for d in range(200):
+        words = [r.choice(WORDS) for _ in range(120)]
+        if d % 5 == 0:  # every sixth word replaced, so that no run of 13 is left
+            _, w, answer = items[d // 5 % 20]
+            words[40:40] = [x if k % 6 else r.choice(WORDS) for k, x in enumerate(w)] + [answer]
+        docs.append((d, " ".join(words)))
+    it = spark.createDataFrame([(i, "s", " ".join(w), a) for i, w, a in items], "item_id bigint, suite string, text string, answer string")
+    got = {(x["doc_id"], x["item_id"]) for x in L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), it).where("kind = 'paraphrase'").collect()}
+    want = {(d, d // 5 % 20) for d in range(0, 200, 5)}
+    print(len(got & want), len(want), len(got - want))
+    assert len(got & want) >= 0.9 * len(want) and not got - want
