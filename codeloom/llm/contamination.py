@@ -75,6 +75,21 @@ def _project(words: np.ndarray, start: np.ndarray, end: np.ndarray, basis: np.nd
     return np.add.reduceat(rows, bounds, axis=0)[0::2]
 
 
+def _project_passages(words: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """_project of the documents' own passages: these are two steps wide, so sums over single steps are taken once and added in pairs."""
+    n = np.diff(offsets)
+    steps = -(-n // DOC_STEP)
+    first = np.cumsum(steps) - steps
+    k = np.arange(int(steps.sum())) - np.repeat(first, steps)
+    at = np.repeat(offsets[:-1], steps) + k * DOC_STEP
+    sums = np.add.reduceat(np.take(basis, _slots(words), axis=0), at, axis=0) if len(at) else np.zeros((0, basis.shape[1]), np.float32)
+    mine = first[row] + (start - offsets[row]) // DOC_STEP
+    out = sums[mine]
+    two = end - start > DOC_STEP
+    out[two] += sums[mine[two] + 1]
+    return out
+
+
 class Space(NamedTuple):
     basis: np.ndarray  # SLOTS x RANK, rows weighed by the inverse document frequency
 
@@ -277,12 +292,12 @@ def _search(items, space, run: int, cosine: float, paraphrases: bool):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, offsets = _lists(batch.column(1))
             out: dict[tuple[int, int], tuple[str, int, float]] = {}
-            for i, j in _chunks(offsets, 40_000):
+            for i, j in _chunks(offsets, 10_000):
                 part, off = words[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if not len(part):
                     continue
                 row, start, end = _windows(off, DOC_WINDOW, DOC_STEP)
-                w, item, cos = candidates(it, _unit(_project(part, start, end, basis)), cosine)
+                w, item, cos = candidates(it, _unit(_project_passages(part, off, row, start, end, basis)), cosine)
                 # the candidates' runs of words, each with the item it is a candidate for
                 if len(runs) and len(part) >= run and len(w):
                     gram = _grams(part, run)
