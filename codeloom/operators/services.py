@@ -11,12 +11,12 @@ from ..functions.text import _c
 # What an error text says when trying again may help.
 TRANSIENT = ("rate limit", "timeout", "connection", "temporary", "503", "502", "429")
 # Files that hold user interface code.
-UI_EXTENSIONS = (".css", ".html", ".jsx", ".less", ".sass", ".scss", ".svelte", ".tsx", ".vue")
-# Files that are no text, by extension and by their first bytes.
-BINARY_EXTENSIONS = (".bin", ".bmp", ".class", ".dll", ".exe", ".gif", ".gz", ".ico", ".jar", ".jpeg", ".jpg", ".mp3", ".mp4", ".o", ".pdf", ".png", ".pyc", ".so", ".tar", ".woff", ".woff2", ".zip")
-BINARY_STARTS = ("7f454c46", "89504e47", "25504446", "504b0304", "1f8b08", "cafebabe", "4d5a")
+UI_EXTENSIONS = (".css", ".scss", ".less", ".tsx", ".jsx", ".vue", ".svelte")
+# Files that are no text, by extension (as it is written) and, in hexadecimal, by their first bytes.
+BINARY_EXTENSIONS = (".exe", ".dll", ".so", ".dylib", ".a", ".lib", ".o", ".obj", ".class", ".pyc", ".pyd", ".pyo", ".bin", ".elf")
+BINARY_STARTS = ("7f454c46", "4d5a", "feedface", "feedfacf", "cafebabe", "cffaedfe")
 # Marks that switch a check off.
-SUPPRESSIONS = ("eslint-disable", "stylelint-disable", "noqa", "type: ignore", "nolint", "ts-ignore", "noinspection")
+SUPPRESSIONS = ("ui-quality-disable", "ui-check-disable", "@ui-ignore", "stylelint-disable", "eslint-disable")
 # What an observation begins with, and how often it then counts.
 OBSERVATION_WEIGHTS = ((3, ("class:", "function:", "method:", "interface:", "signature:")), (2, ("purpose:", "responsibility:", "description:")))
 # The weight of a task by its effort, and up to which sum a group is low or medium.
@@ -42,7 +42,7 @@ def is_ui_file(path: str | Column) -> Column:
 
 def exclusion_reason(path: str | Column, content: Column) -> Column:
     """extension or magic for files that are no text, else null; content is binary or a string."""
-    ext = F.lower(F.regexp_extract(_c(path), r"(\.[^./]+)$", 1))
+    ext = F.regexp_extract(_c(path), r"(\.[^./]+)$", 1)
     head = F.lower(F.hex(F.substring(content.cast("binary"), 1, 4)))
     magic = reduce(lambda a, b: a | b, (head.startswith(x) for x in BINARY_STARTS))
     return F.when(ext.isin(*BINARY_EXTENSIONS), "extension").when(magic, "magic")
@@ -123,7 +123,7 @@ def cache_lookups(lookups: DataFrame, key: str, at: str, ttl_seconds: int, tie:
     return lookups.withColumn("hit", F.coalesce(gap <= ttl_seconds * 1_000_000, F.lit(False)))
 
 
-def batch_sizes(batches: DataFrame, stream: str, order: str, size0: int = 10, least: int = 2, most: int = 100, grow: float = 1.5, shrink: float = 0.5, patience: int = 3, failures: int = 2, rate: float = 0.1) -> DataFrame:
+def batch_sizes(batches: DataFrame, stream: str, order: str, size0: int = 25, least: int = 2, most: int = 100, grow: float = 1.5, shrink: float = 0.5, patience: int = 3, failures: int = 2, rate: float = 0.1) -> DataFrame:
     """(stream, order, size): the size of each batch of a stream by the error rates before it (`error_rate`).
 
     After `patience` batches in a row under the rate the size grows, and from the second bad one in a row on it shrinks. A

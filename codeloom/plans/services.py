@@ -17,21 +17,21 @@ def _file_rows(s, d, *columns):
     return latest(table(s, d, "parser_results").select("file_id", *columns), "file_id")
 
 
-@query(f"""select file_id, lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) in ('.css', '.html', '.jsx', '.less', '.sass', '.scss', '.svelte', '.tsx', '.vue') as is_ui from {_P}""")
+@query(f"""select file_id, lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) in ('.css', '.scss', '.less', '.tsx', '.jsx', '.vue', '.svelte') as is_ui from {_P}""")
 def ui_files(s, d):
     return _file_rows(s, d, S.is_ui_file("file_path").alias("is_ui"))
 
 
-@query(f"""select file_id, case when regexp_matches(lower(file_path), '\\.(bin|exe|dll|so|o|class|jar|zip|gz|tar|png|jpe?g|gif|bmp|ico|pdf|mp3|mp4|woff2?|pyc)$') then 'extension'
-    when starts_with(content, 'PK' || chr(3) || chr(4)) or starts_with(content, 'MZ') or starts_with(content, '%PDF') then 'magic' end as reason from {_P} where content is not null""")
+@query(f"""select file_id, case when regexp_matches(file_path, '\\.(exe|dll|so|dylib|a|lib|o|obj|class|py[cdo]|bin|elf)$') then 'extension'
+    when starts_with(content, chr(127) || 'ELF') or starts_with(content, 'MZ') then 'magic' end as reason from {_P} where content is not null""")
 def binary_files(s, d):
     return latest(table(s, d, "parser_results").where("content is not null").select("file_id", S.exclusion_reason("file_path", F.col("content")).alias("reason")), "file_id")
 
 
 @query(f"""
     with l as (select file_id, i::int as line_no, ls[i] as line from (select file_id, ls, unnest(range(1, len(ls) + 1)) as i from (select file_id, string_split(content, chr(10)) as ls from {_P} where content is not null))),
-    m as (select *, case when contains(lower(line), 'eslint-disable') then 'eslint-disable' when contains(lower(line), 'stylelint-disable') then 'stylelint-disable' when contains(lower(line), 'noqa') then 'noqa' when contains(lower(line), 'type: ignore') then 'type: ignore'
-        when contains(lower(line), 'nolint') then 'nolint' when contains(lower(line), 'ts-ignore') then 'ts-ignore' when contains(lower(line), 'noinspection') then 'noinspection' end as mark from l),
+    m as (select *, case when contains(lower(line), 'ui-quality-disable') then 'ui-quality-disable' when contains(lower(line), 'ui-check-disable') then 'ui-check-disable' when contains(lower(line), '@ui-ignore') then '@ui-ignore'
+        when contains(lower(line), 'stylelint-disable') then 'stylelint-disable' when contains(lower(line), 'eslint-disable') then 'eslint-disable' end as mark from l),
     a as (select *, substring(line, instr(lower(line), mark) + length(mark)) as rest from m where mark is not null)
     select file_id, line_no, mark, length(trim(case when contains(rest, '--') then substring(rest, instr(rest, '--') + 2) when contains(rest, ':') then substring(rest, instr(rest, ':') + 1) else '' end)) >= 6 as has_rationale from a""")
 def suppression_comments(s, d):
