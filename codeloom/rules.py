@@ -1,7 +1,8 @@
 """Code-quality rules: a catalogue of predicates over the lines of files, evaluated in one pass.
 
-A rule looks at a line, and if it says so at the next line and at the whole file. Languages go by extension. All patterns
-are in the common subset of regular expressions (no look-around), so any engine can evaluate the catalogue.
+A rule looks at a line, and if it says so at the next line, at the lines around it and at the whole file. Comment lines are
+passed over unless the rule is about them. Languages go by extension. All patterns are in the common subset of regular
+expressions (no look-around), so any engine can evaluate the catalogue.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .operators.changes import in_diff_scope
+
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 PY, JS, GO, SH, ANY = ("py",), ("js", "ts"), ("go",), ("sh",), ("py", "js", "ts", "go", "sh")
 _CODE = ("py", "js", "ts")
@@ -26,6 +29,10 @@ class Rule(NamedTuple):
     no_follow: str | None = None  # the next line must not match
     no_file: str | None = None  # no text of the file may match
     fast: bool = True  # also when a file is written
+    no_near: str | None = None  # no text from 3 lines before to 12 lines after may match
+    no_after: str | None = None  # no text from the line itself to 20 lines after may match
+    comments: bool = False  # comment lines are looked at too
+    confidence: float = 0.8
 
 
 RULES: tuple[Rule, ...] = (
@@ -34,39 +41,43 @@ RULES: tuple[Rule, ...] = (
     Rule("GIT.FORCE_PUSH", "CRITICAL", SH, r"git push .*(--force|-f\b)", unless="--force-with-lease"),
     Rule("GIT.HARD_RESET", "CRITICAL", SH, r"git reset .*--hard"),
     Rule("GIT.DESTRUCTIVE_OPS", "CRITICAL", SH, r"git (clean -\w*f|branch -D|checkout -- \.|filter-branch)|rm -rf /"),
-    Rule("RESILIENCE.MISSING_RETRY", "MEDIUM", _CODE, r"requests\.(get|post|put|delete)\(|\bfetch\(|axios\.(get|post)\(|urlopen\(", no_file=r"(?i)retry|backoff"),
-    Rule("RESILIENCE.MISSING_TIMEOUT", "MEDIUM", _CODE, r"requests\.(get|post|put|delete)\(|axios\.(get|post)\(|urlopen\(", unless="timeout"),
+    Rule("RESILIENCE.MISSING_RETRY", "MEDIUM", _CODE, r"requests\.(get|post|put|delete)\(|\bfetch\(|axios\.(get|post)\(|urlopen\(", no_near=r"(?i)retry|retries|backoff|tenacity|attempt", confidence=0.6),
+    Rule("RESILIENCE.MISSING_TIMEOUT", "MEDIUM", _CODE, r"requests\.(get|post|put|delete)\(|axios\.(get|post)\(|urlopen\(|\bfetch\(", no_near=r"(?i)timeout|AbortSignal|AbortController", confidence=0.7),
     Rule("RESILIENCE.SWALLOWED_EXCEPTIONS", "HIGH", PY, r"^\s*except\b.*:\s*$", follow=r"^\s*(pass|\.\.\.|continue)\s*$"),
     Rule("RESILIENCE.SWALLOWED_EXCEPTIONS", "HIGH", PY, r"^\s*except\b.*:\s*$", follow=r"^\s*(logger|logging)\.\w+\(.*\)\s*$"),
     Rule("RESILIENCE.SWALLOWED_EXCEPTIONS", "HIGH", JS, r"catch\s*(\([^)]*\))?\s*\{\s*\}"),
     Rule("RESILIENCE.SWALLOWED_EXCEPTIONS", "HIGH", JS, r"\}\s*catch\s*(\([^)]*\))?\s*\{\s*$", follow=r"^\s*(log|console)\.\w+\(.*\);?\s*$"),
     Rule("RESILIENCE.UNSAFE_CONCURRENCY", "HIGH", ("py", "js", "ts", "go"), r"threading\.Thread\(|\bgo func\(|new Worker\(|^\s*global \w+", no_file=r"(?i)\block\b|mutex|semaphore|queue", fast=False),
-    Rule("RESILIENCE.UNSAFE_LOOP", "HIGH", ("py", "js", "ts", "go"), r"while True:|while\s*\((true|1)\)|^\s*for \{", no_file=r"\bbreak\b|\breturn\b"),
+    Rule("RESILIENCE.UNSAFE_LOOP", "HIGH", ("py", "js", "ts", "go"), r"while True:|while\s*\((true|1)\)|^\s*for \{\s*$", no_after=r"\bbreak\b|\breturn\b|\braise\b|\bthrow\b|\byield\b|sys\.exit|process\.exit|os\.Exit|panic\("),
     Rule("RESILIENCE.UNSAFE_NULL", "MEDIUM", _CODE, r"\.(get|find|match|querySelector)\([^()]*\)(\.|\[)"),
-    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", PY, r"=\s*open\(", unless=r"\bwith\b"),
-    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", JS, r"=\s*fs\.(openSync|createReadStream|createWriteStream)\("),
-    Rule("SECURITY.COMMAND_INJECTION", "CRITICAL", ANY, r"os\.system\(|shell\s*=\s*True|child_process\.exec\(|\beval\(|exec\.Command\(\"(sh|bash)\"|\brun\(\"curl "),
+    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", PY, r"=\s*(open|socket\.socket|sqlite3\.connect|urlopen|tempfile\.NamedTemporaryFile)\(", unless=r"\bwith\b", no_after=r"\.close\(\)|closing\("),
+    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", JS, r"=\s*fs\.(openSync|createReadStream|createWriteStream)\(", no_after=r"closeSync\(|\.close\(|\.destroy\(|\.end\(|pipeline\("),
+    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", JS, r"\bsetInterval\(", no_file=r"clearInterval\(", confidence=0.7),
+    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", JS, r"\.addEventListener\(", unless=r"once:|signal", no_file=r"removeEventListener\(", confidence=0.6),
+    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", JS, r"\.subscribe\(", no_file=r"unsubscribe\(|takeUntil|firstValueFrom", confidence=0.6),
+    Rule("RESILIENCE.UNSAFE_RESOURCE", "MEDIUM", JS, r"new (WebSocket|EventSource|Worker)\(", no_file=r"\.(close|terminate)\("),
+    Rule("SECURITY.COMMAND_INJECTION", "CRITICAL", ANY, r"os\.system\(|shell\s*=\s*True|child_process\.exec\(|\bexecSync\(|\beval\(|subprocess\.\w+\(\s*f[\"']|exec\.Command\(\"(sh|bash)\"|\brun\(\"curl "),
     Rule("SECURITY.INSECURE_CRYPTO", "HIGH", ANY, r"(?i)\b(md5|sha1)\b\s*[.(]|\bDES\b|MODE_ECB|createHash\([\"'](md5|sha1)"),
     Rule("SECURITY.INSECURE_DESERIALIZE", "HIGH", ANY, r"pickle\.loads?\(|yaml\.load\(|marshal\.loads?\(|unserialize\(", unless="SafeLoader"),
     Rule("SECURITY.INSECURE_RANDOM", "MEDIUM", ANY, r"random\.(random|randint|choice)\(|Math\.random\(|rand\.Intn?\("),
-    Rule("SECURITY.MISSING_AUTH", "HIGH", _CODE, r"@(app|router)\.(route|get|post|put|delete)\(|app\.(post|put|delete)\([\"']", unless=r"(?i)auth|login", no_follow=r"(?i)auth|login|permission"),
-    Rule("SECURITY.MISSING_HTTPS", "MEDIUM", ANY, r"http://[a-z0-9]", unless=r"http://(localhost|127\.|0\.0\.0\.0)"),
+    Rule("SECURITY.MISSING_AUTH", "HIGH", _CODE, r"@(app|router)\.(route|get|post|put|delete)\(|(app|router)\.(post|put|delete)\([\"']", unless=r"(?i)auth|login|health", no_follow=r"(?i)auth|login|permission", confidence=0.6),
+    Rule("SECURITY.MISSING_HTTPS", "MEDIUM", ANY, r"http://[a-z0-9]", unless=r"http://(localhost|127\.|0\.0\.0\.0|www\.w3\.org|example\.|[a-z0-9.-]+\.(test|example|local)\b)"),
     Rule("SECURITY.PATH_TRAVERSAL", "HIGH", ANY, r"open\([^)]*(request|params|argv|input)|path\.join\([^)]*(req\.|params|argv)|send_file\([^)]*request"),
     Rule("SECURITY.SENSITIVE_EXPOSURE", "MEDIUM", ANY, r"(?i)(print|log\w*\.\w+|console\.\w+|printf)\(.*(password|passwd|secret|api_?key|credential)"),
     Rule("SECURITY.SQL_INJECTION", "CRITICAL", ANY, r"(?i)(execute|query|raw)\(\s*(f[\"']|[\"'][^\"']*(select|insert|update|delete)\b[^\"']*[\"']\s*(\+|%|\.format))"),
     Rule("SECURITY.XSS_VULNERABILITY", "CRITICAL", JS, r"\.innerHTML\s*=|document\.write\(|dangerouslySetInnerHTML|v-html="),
-    Rule("TECH_DEBT.COMMENTED_CODE", "LOW", _CODE, r"^\s*(#|//)\s*(def|class|if|for|while|return|const|let|var|function|import)\b.*[:;({)]\s*$"),
+    Rule("TECH_DEBT.COMMENTED_CODE", "LOW", _CODE, r"^\s*(#|//)\s*(def|class|if|for|while|return|const|let|var|function|import)\b.*[:;({)]\s*$", comments=True, confidence=0.7),
     Rule("TECH_DEBT.DEBUG_STATEMENTS", "LOW", ("py", "js", "ts", "go"), r"^\s*(print\(|console\.(log|debug)\(|fmt\.Print(ln|f)?\()"),
     Rule("TECH_DEBT.BREAKPOINTS", "HIGH", _CODE, r"^\s*(breakpoint\(\)|import i?pdb|i?pdb\.set_trace\(|debugger;?)"),
     Rule("TECH_DEBT.DEPRECATED_APIS", "MEDIUM", ("py", "js", "ts", "go"), r"datetime\.utcnow\(|get_event_loop\(|new Buffer\(|componentWill(Mount|Update)|ioutil\.|\.substr\("),
-    Rule("TECH_DEBT.MAGIC_NUMBERS", "LOW", _CODE, r"(==|<|>|<=|>=)\s*[0-9]{3,}\b", unless=r"^\s*(#|//|\*)|^[A-Z_]+\s*="),
+    Rule("TECH_DEBT.MAGIC_NUMBERS", "LOW", _CODE, r"(==|<|>|<=|>=)\s*[0-9]{3,}\b", unless=r"^[A-Z_]+\s*=", confidence=0.5),
     Rule("TECH_DEBT.NAMING_CONVENTIONS", "MEDIUM", PY, r"^\s*(async )?def [a-z_]*[A-Z]\w*\(|^\s*class [a-z]\w*"),
     Rule("TECH_DEBT.NAMING_CONVENTIONS", "MEDIUM", JS, r"function [a-z]+_[a-z]\w*\(|^\s*(export )?class [a-z]\w*"),
-    Rule("TECH_DEBT.TODO_MARKERS", "LOW", ANY, r"(#|//|\*|\"\"\")\s*TODO\b"),
-    Rule("TECH_DEBT.FIXME_MARKERS", "HIGH", ANY, r"(#|//|\*)\s*(FIXME|XXX|HACK)\b"),
+    Rule("TECH_DEBT.TODO_MARKERS", "LOW", ANY, r"(#|//|\*|\"\"\")\s*TODO\b", comments=True, confidence=0.95),
+    Rule("TECH_DEBT.FIXME_MARKERS", "HIGH", ANY, r"(#|//|\*)\s*(FIXME|XXX|HACK)\b", comments=True, confidence=0.95),
     Rule("TECH_DEBT.TOKEN_DRIFT", "MEDIUM", _CODE, r"[\"'](#[0-9a-fA-F]{6}|[0-9]+px)[\"']", fast=False),
     Rule("IMPORTANT.NEW_USAGE", "MEDIUM", ("css", "scss"), r"!important"),
-    Rule("SUPPRESSION.NO_RATIONALE", "LOW", ANY, r"(eslint-disable|# noqa|# type: ignore|//nolint)\s*$"),
+    Rule("SUPPRESSION.NO_RATIONALE", "LOW", ANY, r"(eslint-disable|# noqa|# type: ignore|//nolint)\s*$", comments=True, confidence=0.9),
 )
 
 
@@ -78,43 +89,63 @@ def _numbered(files: DataFrame) -> DataFrame:
     return files.where("content is not null").select("file_id", "file_path", ext.alias("ext"), "content", F.explode(pairs).alias("p")).select("file_id", "file_path", "ext", "content", "p.*")
 
 
-def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, trigger: str = ON_COMMIT, rule_ids: list[str] | None = None) -> DataFrame:
-    """(file_id, file_path, line_no, rule_id, severity) of all findings; a rule reports a line once.
+#: Lines that are comments as a whole, by the languages in which they begin like that.
+HASH_COMMENT, SLASH_COMMENT = r"^\s*#", r"^\s*(//|/?\*)"
+_HASHED = ("py", "sh")
+
+
+def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, trigger: str = ON_COMMIT, rule_ids: list[str] | None = None, least_confidence: float = 0.0, ranges: DataFrame | None = None) -> DataFrame:
+    """(file_id, file_path, line_no, rule_id, severity, confidence) of all findings; a rule reports a line once.
 
-    Files of other languages and null contents have none. On writing only the fast rules run.
+    Files of other languages and null contents have none. On writing only the fast rules run. With ranges (file_path, start,
+    end), as a diff gives them, only findings on changed lines are kept.
     """
-    chosen = [r for r in rules if (trigger != ON_WRITE or r.fast) and (rule_ids is None or r.rule_id in rule_ids)]
+    chosen = [r for r in rules if (trigger != ON_WRITE or r.fast) and (rule_ids is None or r.rule_id in rule_ids) and r.confidence >= least_confidence]
+    if not chosen:
+        return files.where("false").select("file_id", "file_path", F.lit(0).alias("line_no"), F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit(0.0).alias("confidence"))
     # what a rule asks of a whole file is tested once per file
     asked = sorted({r.no_file for r in chosen if r.no_file})
     tested = files.withColumn("_has", F.array(*(F.col("content").rlike(p) for p in asked)) if asked else F.array())
 
     def hit(r: Rule) -> Column:
         c = F.col("ext").isin(*r.languages) & F.col("line").rlike(r.line)
+        if not r.comments:
+            c &= ~F.when(F.col("ext").isin(*_HASHED), F.col("line").rlike(HASH_COMMENT)).otherwise(F.col("line").rlike(SLASH_COMMENT))
         if r.unless:
             c &= ~F.col("line").rlike(r.unless)
         if r.follow:
             c &= F.col("next").rlike(r.follow)
         if r.no_follow:
             c &= ~F.col("next").rlike(r.no_follow)
+        if r.no_near:
+            c &= ~F.col("near").rlike(r.no_near)
+        if r.no_after:
+            c &= ~F.col("after").rlike(r.no_after)
         if r.no_file:
             c &= ~F.get(F.col("_has"), F.lit(asked.index(r.no_file)))
-        return F.when(c, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity")))
+        return F.when(c, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
 
     ext = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
     lines = F.split("content", "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
-    # one alternation per language says which lines any rule asks about; only these become rows
-    branches = None
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    # one alternation per language says which lines any rule asks about; only these become rows, with what is around them
+    kept = None
     for e in sorted({x for r in chosen for x in r.languages}):
         any_of = "|".join(f"(?:{r.line})" for r in chosen if e in r.languages)
-        kept = F.filter(numbered, (lambda rx: lambda p: p["line"].rlike(rx))(any_of))
-        branches = F.when(F.col("ext") == e, kept) if branches is None else branches.when(F.col("ext") == e, kept)
-    if branches is None:
-        return files.where("false").select("file_id", "file_path", F.lit(0).alias("line_no"), F.lit("").alias("rule_id"), F.lit("").alias("severity"))
-    rows = tested.where("content is not null").select("file_id", "file_path", ext.alias("ext"), "content", "_has").select("file_id", "file_path", "ext", "_has", F.explode(branches).alias("p")).select("file_id", "file_path", "ext", "_has", "p.*")
-    found = rows.select("file_id", "file_path", "line_no", F.explode(F.array_distinct(F.array_compact(F.array(*(hit(r) for r in chosen))))).alias("f"))
-    # redelivered files give the same findings again
-    return found.select("file_id", "file_path", "line_no", "f.rule_id", "f.severity").dropDuplicates(["file_id", "line_no", "rule_id"])
+        mine = F.filter(numbered, (lambda rx: lambda p: p["line"].rlike(rx))(any_of))
+        kept = F.when(F.col("ext") == e, mine) if kept is None else kept.when(F.col("ext") == e, mine)
+    text = lambda first, last: F.array_join(F.slice(lines, first, last - first + 1), "\n")
+    around = F.transform(kept, lambda p: F.struct(
+        p["line_no"].alias("line_no"), p["line"].alias("line"), F.coalesce(F.get(lines, p["line_no"]), F.lit("")).alias("next"),
+        text(F.greatest(F.lit(1), p["line_no"] - 3), p["line_no"] + 12).alias("near"), text(p["line_no"], p["line_no"] + 20).alias("after"),
+    ))
+    rows = tested.where("content is not null").withColumn("ext", ext).select("file_id", "file_path", "ext", "_has", F.explode(around).alias("p")).select("file_id", "file_path", "ext", "_has", "p.*")
+    found = rows.select("file_id", "file_path", "line_no", F.explode(F.array_compact(F.array(*(hit(r) for r in chosen)))).alias("f"))
+    # of several ways in which a rule fits a line, and of redelivered files, the surest counts
+    out = found.groupBy("file_id", "file_path", "line_no", "f.rule_id").agg(F.max("f.severity").alias("severity"), F.max("f.confidence").alias("confidence"))
+    if ranges is not None:
+        out = in_diff_scope(out, ranges, line="line_no").where("in_scope").drop("in_scope")
+    return out.select("file_id", "file_path", "line_no", "rule_id", "severity", "confidence")
 
 
 def scan_sql(files: str, rules: tuple[Rule, ...] = RULES) -> str:
@@ -123,15 +154,20 @@ def scan_sql(files: str, rules: tuple[Rule, ...] = RULES) -> str:
     parts = []
     for r in rules:
         c = [f"ext in ({', '.join(map(q, r.languages))})", f"regexp_matches(line, {q(r.line)})"]
+        c += ["not note"] if not r.comments else []
         c += [f"not regexp_matches(line, {q(r.unless)})"] if r.unless else []
         c += [f"regexp_matches(next, {q(r.follow)})"] if r.follow else []
         c += [f"not regexp_matches(next, {q(r.no_follow)})"] if r.no_follow else []
+        c += [f"not regexp_matches(array_to_string(ls[greatest(1, line_no - 3) : line_no + 12], chr(10)), {q(r.no_near)})"] if r.no_near else []
+        c += [f"not regexp_matches(array_to_string(ls[line_no : line_no + 20], chr(10)), {q(r.no_after)})"] if r.no_after else []
         c += [f"file_id not in (select file_id from src where regexp_matches(content, {q(r.no_file)}))"] if r.no_file else []
         parts.append(f"select file_id, line_no, '{r.rule_id}' as rule_id, '{r.severity}' as severity from l where {' and '.join(c)}")
+    hashed = ", ".join(map(q, _HASHED))
     return f"""
         with src as (select file_id, lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) as ext, content from {files} where content is not null),
         a as (select file_id, ext, string_split(content, chr(10)) as ls from src),
-        l as (select file_id, ext, i::int as line_no, ls[i] as line, coalesce(ls[i + 1], '') as next from (select *, unnest(range(1, len(ls) + 1)) as i from a))
+        b as (select file_id, ext, ls, i::int as line_no, ls[i] as line, coalesce(ls[i + 1], '') as next from (select *, unnest(range(1, len(ls) + 1)) as i from a)),
+        l as (select *, case when ext in ({hashed}) then regexp_matches(line, {q(HASH_COMMENT)}) else regexp_matches(line, {q(SLASH_COMMENT)}) end as note from b)
         {' union '.join(parts)}"""
 
 
