@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .text import _c
@@ -59,10 +62,58 @@ def pixels(value: str | Column, root: float = 16.0) -> Column:
     return F.when(unit.isin("rem", "em"), number * root).otherwise(number)
 
 
+_SELECTOR = re.compile(r"(?P<id>#[\w-]+)|(?P<class>\.[\w-]+)|\[(?P<attribute>[^\]]*)\]|::(?P<element>[\w-]+)|:(?P<pseudo>[\w-]+)(?P<args>\()?|(?P<type>[A-Za-z_][\w-]*)|(?P<other>.)", re.S)
+# Pseudo-elements that may be written with one colon; and pseudo-classes that weigh what their argument weighs.
+_ONE_COLON, _BY_ARGUMENT = {"before", "after", "first-line", "first-letter"}, {"is", "not", "has", "matches"}
+
+
+def _arguments(text: str, at: int) -> tuple[list[str], int]:
+    """The arguments behind an opening bracket, parted at commas of their own level, and the offset after the closing one."""
+    depth, parts, begin = 1, [], at
+    for i in range(at, len(text)):
+        c = text[i]
+        depth += (c in "([") - (c in ")]")
+        if depth == 0:
+            return [*parts, text[begin:i]], i + 1
+        if c == "," and depth == 1:
+            parts.append(text[begin:i])
+            begin = i + 1
+    return [*parts, text[begin:]], len(text)
+
+
+def selector_weight(selector: str) -> int:
+    """Specificity of a selector as the Selectors specification counts it, with 100 for identifiers, 10 for classes, attributes
+    and pseudo-classes, 1 for types and pseudo-elements; of a list the heaviest, `:where()` nothing."""
+    several, _ = _arguments(selector + ")", 0)
+    if len(several) > 1:
+        return max(map(selector_weight, several))
+    weight, at = 0, 0
+    while (m := _SELECTOR.match(selector, at)) is not None:
+        at, kind = m.end(), m.lastgroup
+        if kind == "id":
+            weight += 100
+        elif kind in ("class", "attribute"):
+            weight += 10
+        elif kind in ("element", "type"):
+            weight += 1
+        elif kind in ("pseudo", "args"):
+            name, args = m["pseudo"].lower(), []
+            if m["args"]:
+                args, at = _arguments(selector, at)
+            if name in _BY_ARGUMENT:
+                weight += max(map(selector_weight, args), default=0)
+            elif name != "where":
+                weight += 1 if name in _ONE_COLON else 10
+                # nth-child(2n of .a) weighs its list too
+                weight += max((selector_weight(a.partition(" of ")[2]) for a in args if " of " in a), default=0)
+    return weight
+
+
 def specificity(selector: str | Column) -> Column:
-    """100 for an id, 10 for a class, attribute or pseudo-class, 1 for an element."""
-    s = _c(selector)
-    ids = F.regexp_count(s, F.lit(r"#[\w-]+"))
-    classes = F.regexp_count(s, F.lit(r"\.[\w-]+|\[[^\]]*\]|(?<!:):(?!:)[\w-]+"))
-    elements = F.regexp_count(s, F.lit(r"(?:^|[\s>+~])[a-zA-Z][\w-]*|::[\w-]+"))
-    return (100 * ids + 10 * classes + elements).cast("int")
+    """selector_weight of a column, in Arrow batches; null for null."""
+
+    @F.pandas_udf("int")
+    def weigh(values: pd.Series) -> pd.Series:
+        return values.map({v: selector_weight(v) for v in values.dropna().unique()}).astype("Int32")
+
+    return weigh(_c(selector))

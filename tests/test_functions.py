@@ -81,3 +81,11 @@ def test_markup(spark):
 def test_naming(spark):
     for n, want in (("foo_bar", "snake"), ("FOO_BAR", "upper"), ("FooBar", "pascal"), ("fooBar", "camel"), ("foo-bar", "other")):
         assert one(spark, X.naming_style("n"), n=F.lit(n)) == want
+
+
+def test_selector_weights(spark):
+    from codeloom.functions import style as S
+
+    cases = {"a": 1, "*": 0, "ul li a": 3, ".a.b": 20, "#x .a > b": 111, "a:hover": 11, "a::before": 2, "p:first-line": 2, "[href='a,b']": 10, ":is(.a, #b c)": 101, ":not(.a)": 10, ":where(#a)": 0, "li:nth-child(2n of .x, #y)": 21, "a, #b": 100, "": 0}
+    df = spark.createDataFrame([*((k, v) for k, v in cases.items()), (None, None)], "s string, w int")
+    assert df.select((S.specificity("s").eqNullSafe(df.w)).alias("ok"), "s").where("not ok").collect() == []
