@@ -44,8 +44,9 @@ def json_properties(s, d):
 @query("""select user_id, count(*) as n, sum(value)::double >= 0 as ok, max(ts) < (select max(ts) from events) - interval 1 day as inactive from events group by user_id""")
 def inactive_users(s, d):
     e = table(s, d, "events")
-    end = e.agg(F.max("ts").alias("t")).first()["t"]
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), (F.sum("value") >= 0).alias("ok"), (F.max("ts") < F.lit(end) - F.expr("interval 1 day")).alias("inactive"))
+    users = e.groupBy("user_id").agg(F.count("*").alias("n"), (F.sum("value") >= 0).alias("ok"), F.max("ts").alias("last"))
+    # the end is one row
+    return users.join(F.broadcast(e.agg(F.max("ts").alias("_end")))).select("user_id", "n", "ok", (F.col("last") < F.col("_end") - F.expr("interval 1 day")).alias("inactive"))
 
 
 @query(f"""

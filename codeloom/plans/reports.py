@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import style as S
@@ -26,9 +28,10 @@ def repair_sessions(s, d):
 @query(f"""
     select (select count(*) from {_P}) as n_files, (select count(*) from {_E}) as n_entities, (select count(*) from {_R}) as n_relations, (select count(*) from chunks) as n_chunks, (select count(*) from documents) as n_documents, (select count(distinct repo) from {_P}) as n_repos""")
 def summary_dashboard(s, d):
-    one = _files(s, d).agg(F.count("*").alias("n_files"), F.countDistinct("repo").alias("n_repos")).first()
-    n = {"n_files": one["n_files"], "n_entities": _entities(s, d).count(), "n_relations": _edges(s, d).count(), "n_chunks": table(s, d, "chunks").count(), "n_documents": table(s, d, "documents").count(), "n_repos": one["n_repos"]}
-    return s.createDataFrame([tuple(n.values())], ", ".join(f"{k} bigint" for k in n))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    rows = [_files(s, d).agg(F.count("*").alias("n_files"), F.countDistinct("repo").alias("n_repos")), n(_entities(s, d), "n_entities"), n(_edges(s, d), "n_relations"), n(table(s, d, "chunks"), "n_chunks"), n(table(s, d, "documents"), "n_documents")]
+    # each is one row
+    return reduce(lambda a, b: a.join(F.broadcast(b)), rows).select("n_files", "n_entities", "n_relations", "n_chunks", "n_documents", "n_repos")
 
 
 @query(f"""

@@ -144,8 +144,8 @@ def metric_reduction(s, d):
     select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n, round(sum(value), 4) as total from events, m where ts > t - interval 30 day group by 1, 2""")
 def trend_30d(s, d):
     e = table(s, d, "events")
-    end = e.agg(F.max("ts").alias("t")).first()["t"]
-    return e.where(F.col("ts") > F.lit(end) - F.expr("interval 30 days")).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    # the end is one row
+    return e.join(F.broadcast(e.agg(F.max("ts").alias("_end"))), F.col("ts") > F.col("_end") - F.expr("interval 30 days")).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(f"""

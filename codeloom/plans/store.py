@@ -145,8 +145,8 @@ def rolling_last_n(s, d):
     select user_id, round(greatest(0, arg_min(value, (ts, value)) - arg_max(value, (ts, value))), 6) as resolved from e group by user_id having count(*) >= 2""")
 def resolved_30d(s, d):
     e = table(s, d, "events")
-    end = e.agg(F.max("ts").alias("t")).first()["t"]
-    r = e.where(F.col("ts") > F.lit(end) - F.expr("interval 30 days")).groupBy("user_id").agg(F.count("*").alias("n"), (F.min_by("value", F.struct("ts", "value")) - F.max_by("value", F.struct("ts", "value"))).alias("v"))
+    # the end is one row
+    r = e.join(F.broadcast(e.agg(F.max("ts").alias("_end"))), F.col("ts") > F.col("_end") - F.expr("interval 30 days")).groupBy("user_id").agg(F.count("*").alias("n"), (F.min_by("value", F.struct("ts", "value")) - F.max_by("value", F.struct("ts", "value"))).alias("v"))
     return r.where("n >= 2").select("user_id", F.round(F.greatest(F.lit(0.0), "v"), 6).alias("resolved"))
 
 
@@ -155,12 +155,14 @@ def plan_adoption(s, d):
     return table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("plan")).agg(F.count("*").alias("n"), F.round(F.count(F.when(F.col("o_orderstatus") == "F", 1)) / F.count("*"), 6).alias("adoption"))
 
 
-@query(r"""
-    with r as (select * from (values ('A' || chr(9) || 'a.py'), ('R100' || chr(9) || 'b.py' || chr(9) || 'c.py'), ('D' || chr(9) || 'd.py'), ('M' || chr(9) || 'e.py')) t(v)),
+@query(rf"""
+    with r as (select case lang when 'python' then 'A' || chr(9) || file_path when 'go' then 'R100' || chr(9) || file_path || '.old' || chr(9) || file_path when 'json' then 'D' || chr(9) || file_path else 'M' || chr(9) || file_path end as v from {_P} where file_path is not null),
     p as (select string_split(v, chr(9)) as p from r)
     select p[-1] as path, case p[1][1] when 'A' then 'added' when 'D' then 'deleted' when 'R' then 'renamed' else 'modified' end as status from p union all select p[-1], 'modified' from p where p[1][1] = 'R'""")
 def git_name_status(s, d):
-    lines = s.createDataFrame([("A\ta.py",), ("R100\tb.py\tc.py",), ("D\td.py",), ("M\te.py",)], "value string")
+    path, tab = F.col("file_path"), F.lit("\t")
+    line = F.when(F.col("lang") == "python", F.concat(F.lit("A\t"), path)).when(F.col("lang") == "go", F.concat(F.lit("R100\t"), path, F.lit(".old"), tab, path)).when(F.col("lang") == "json", F.concat(F.lit("D\t"), path)).otherwise(F.concat(F.lit("M\t"), path))
+    lines = _files(s, d).where("file_path is not null").select(line.alias("value"))
     return Fi.parse_name_status(lines).select("path", "status")
 
 
