@@ -288,6 +288,9 @@ def _search(items, space, run: int, cosine: float, paraphrases: bool):
 
         runs = np.unique(np.concatenate([signed(_grams(w, run), i) for i, w in enumerate(it.words)] or [np.zeros(0, np.uint64)]))
         slots = np.arange(DOC_WINDOW - run + 1)
+        # most runs are none of an item's, which a table of their upper bits tells at once
+        known = np.zeros(1 << 22, bool)
+        known[(runs >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, offsets = _lists(batch.column(1))
@@ -304,9 +307,11 @@ def _search(items, space, run: int, cosine: float, paraphrases: bool):
                     at = start[w][:, None] + slots
                     inside = at + run <= end[w][:, None]
                     key = signed(gram[np.where(inside, at, 0)], item[:, None])
-                    place = np.searchsorted(runs, key)
+                    hit = known[(key >> np.uint64(42)).astype(np.int64)] & inside
+                    maybe = key[hit]
+                    place = np.searchsorted(runs, maybe)
                     place[place == len(runs)] = 0
-                    hit = (runs[place] == key) & inside
+                    hit[hit] = runs[place] == maybe
                     sure = hit.any(axis=1)
                     for x in np.flatnonzero(sure):
                         r, mine = int(row[w[x]]), it.words[item[x]]
