@@ -264,10 +264,13 @@ def candidates(it: Items, unit: np.ndarray, cosine: float, probes: int = PROBES)
         if a == b or not len(mine):
             continue
         score = unit[mine] @ it.vectors[a:b].T
-        r, v = np.nonzero(score >= cosine)
+        flat = np.flatnonzero(score.ravel() >= cosine)
+        if not len(flat):
+            continue
+        r, v = np.divmod(flat, b - a)
         rows.append(mine[r])
         items.append(it.owner[a + v])
-        cos.append(score[r, v])
+        cos.append(score.ravel()[flat])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     r, i, c = np.concatenate(rows), np.concatenate(items), np.concatenate(cos)
