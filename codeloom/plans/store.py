@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
@@ -10,6 +12,7 @@ from ..session import table
 from ..sources import files as Fi, sinks as Si
 from .graph import _E, _P, _R, _edges, _entities, _files
 from .registry import query
+from .search import _TOKENS
 from .stats import _A, _analyses
 
 
@@ -95,7 +98,15 @@ def dependency_order(s, d):
     return P.topological_levels(e)
 
 
-@query()
+_R42 = random.Random(42)
+_MINHASH_A, _MINHASH_B = [_R42.randint(1, 2**32 - 1) for _ in range(128)], [_R42.randint(0, 2**32 - 1) for _ in range(128)]
+
+
+@query(f"""
+    with t as (select doc_id, list_distinct({_TOKENS.format("text")}) as ws from documents),
+    h as (select doc_id, list_transform(ws, lambda w: ('0x' || substring(md5(w), 1, 8))::ubigint::hugeint) as hs from t),
+    c as (select unnest(range(0, 128))::int as i, unnest({_MINHASH_A})::hugeint as a, unnest({_MINHASH_B})::hugeint as b)
+    select doc_id, i, coalesce(list_min(list_transform(hs, lambda x: (a * x + b) % 4294967311)), 0)::bigint as h from h, c""")
 def minhash_signatures(s, d):
     return table(s, d, "documents").select("doc_id", X.tokens("text").alias("ws")).transform(lambda t: P.min_hash(t, "doc_id", "ws")).select("doc_id", F.posexplode("signature").alias("i", "h"))
 
