@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..session import latest, table
+from ..session import latest, spread, table
 from .graph import _E, _P, _entities, _files
 from .registry import query
 
 
 def _scan(s, d, **how):
     # findings are told apart at the end, so that texts of redelivered files are not shuffled
-    return R.scan(table(s, d, "parser_results"), **how)
+    return R.scan(spread(table(s, d, "parser_results")), **how)
 
 
 @query(R.scan_sql(_P))

@@ -103,46 +103,42 @@ def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, trigger: str = ON_CO
     chosen = [r for r in rules if (trigger != ON_WRITE or r.fast) and (rule_ids is None or r.rule_id in rule_ids) and r.confidence >= least_confidence]
     if not chosen:
         return files.where("false").select("file_id", "file_path", F.lit(0).alias("line_no"), F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit(0.0).alias("confidence"))
-    # what a rule asks of a whole file is tested once per file
-    asked = sorted({r.no_file for r in chosen if r.no_file})
-    tested = files.withColumn("_has", F.array(*(F.col("content").rlike(p) for p in asked)) if asked else F.array())
-
-    def hit(r: Rule) -> Column:
-        c = F.col("ext").isin(*r.languages) & F.col("line").rlike(r.line)
-        if not r.comments:
-            c &= ~F.when(F.col("ext").isin(*_HASHED), F.col("line").rlike(HASH_COMMENT)).otherwise(F.col("line").rlike(SLASH_COMMENT))
-        if r.unless:
-            c &= ~F.col("line").rlike(r.unless)
-        if r.follow:
-            c &= F.col("next").rlike(r.follow)
-        if r.no_follow:
-            c &= ~F.col("next").rlike(r.no_follow)
-        if r.no_near:
-            c &= ~F.col("near").rlike(r.no_near)
-        if r.no_after:
-            c &= ~F.col("after").rlike(r.no_after)
-        if r.no_file:
-            c &= ~F.get(F.col("_has"), F.lit(asked.index(r.no_file)))
-        return F.when(c, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
-
+    # columns of their own, since an expression would be evaluated again for every rule and line
     ext = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
-    lines = F.split("content", "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    # one alternation per language says which lines any rule asks about; only these become rows, with what is around them
-    kept = None
-    for e in sorted({x for r in chosen for x in r.languages}):
-        any_of = "|".join(f"(?:{r.line})" for r in chosen if e in r.languages)
-        mine = F.filter(numbered, (lambda rx: lambda p: p["line"].rlike(rx))(any_of))
-        kept = F.when(F.col("ext") == e, mine) if kept is None else kept.when(F.col("ext") == e, mine)
+    cut = files.where("content is not null").select("file_id", "file_path", "content", ext.alias("ext"), F.split("content", "\n").alias("_lines"))
+    cut = cut.withColumn("_numbered", F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))))
+    lines = F.col("_lines")
     text = lambda first, last: F.array_join(F.slice(lines, first, last - first + 1), "\n")
-    around = F.transform(kept, lambda p: F.struct(
-        p["line_no"].alias("line_no"), p["line"].alias("line"), F.coalesce(F.get(lines, p["line_no"]), F.lit("")).alias("next"),
-        text(F.greatest(F.lit(1), p["line_no"] - 3), p["line_no"] + 12).alias("near"), text(p["line_no"], p["line_no"] + 20).alias("after"),
-    ))
-    rows = tested.where("content is not null").withColumn("ext", ext).select("file_id", "file_path", "ext", "_has", F.explode(around).alias("p")).select("file_id", "file_path", "ext", "_has", "p.*")
-    found = rows.select("file_id", "file_path", "line_no", F.explode(F.array_compact(F.array(*(hit(r) for r in chosen)))).alias("f"))
+
+    def hits(r: Rule) -> Column:
+        def fits(p: Column) -> Column:
+            line, n = p["line"], p["line_no"]
+            c = line.rlike(r.line)
+            if not r.comments:
+                c &= ~F.when(F.col("ext").isin(*_HASHED), line.rlike(HASH_COMMENT)).otherwise(line.rlike(SLASH_COMMENT))
+            if r.unless:
+                c &= ~line.rlike(r.unless)
+            if r.follow or r.no_follow:
+                following = F.coalesce(F.get(lines, n), F.lit(""))
+                c &= following.rlike(r.follow) if r.follow else F.lit(True)
+                c &= ~following.rlike(r.no_follow) if r.no_follow else F.lit(True)
+            if r.no_near:
+                c &= ~text(F.greatest(F.lit(1), n - 3), n + 12).rlike(r.no_near)
+            if r.no_after:
+                c &= ~text(n, n + 20).rlike(r.no_after)
+            return c
+
+        # a file is searched as a whole first; only a rule that it may break looks at its lines
+        asked = F.col("ext").isin(*r.languages) & F.col("content").rlike("(?dm)" + r.line)
+        if r.no_file:
+            asked &= ~F.col("content").rlike(r.no_file)
+        found = F.transform(F.filter("_numbered", fits), lambda p: F.struct(p["line_no"].alias("line_no"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence")))
+        return F.when(asked, found)
+
+    # no text leaves the map, only findings
+    found = cut.select("file_id", "file_path", F.explode(F.flatten(F.array_compact(F.array(*map(hits, chosen))))).alias("f")).select("file_id", "file_path", "f.*")
     # of several ways in which a rule fits a line, and of redelivered files, the surest counts
-    out = found.groupBy("file_id", "file_path", "line_no", "f.rule_id").agg(F.max("f.severity").alias("severity"), F.max("f.confidence").alias("confidence"))
+    out = found.groupBy("file_id", "file_path", "line_no", "rule_id").agg(F.max("severity").alias("severity"), F.max("confidence").alias("confidence"))
     if ranges is not None:
         out = in_diff_scope(out, ranges, line="line_no").where("in_scope").drop("in_scope")
     return out.select("file_id", "file_path", "line_no", "rule_id", "severity", "confidence")
