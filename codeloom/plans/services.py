@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import design as G, services as S
-from ..operators.stats import running_total
+from ..operators.components import connected_components
+from ..operators.search import keyword_search
+from ..operators.stats import positions, running_total
 from ..session import latest, table
 from .graph import _E, _P, _R, _edges
 from .registry import query
+from .search import _keyword_sql
 
 _quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
 
@@ -172,3 +175,50 @@ def newest_chats(s, d):
 def dbscan_clusters(s, d):
     e = table(s, d, "embeddings")
     return S.dbscan(e, G.pairwise_within(e, "label", "vec_id", "embedding", 0.3), "vec_id", 3)
+
+
+_TIER_SQL = "case when length(content) > 20000 then 'light' when regexp_matches(file_path, '(^|/)(gen|generated|dist|vendor|node_modules)/|[.]min[.]') then 'light' when length(content) < 5000 and regexp_matches(file_path, '(^|/)(core|models|api)/') then 'deep' else 'standard' end"
+
+
+def _tier():
+    size, path = F.length("content"), F.col("file_path")
+    return F.when(size > 20000, "light").when(path.rlike(r"(^|/)(gen|generated|dist|vendor|node_modules)/|[.]min[.]"), "light").when((size < 5000) & path.rlike("(^|/)(core|models|api)/"), "deep").otherwise("standard")
+
+
+@query(f"""
+    with t as (select file_id, {_TIER_SQL} as tier from {_P} where content is not null)
+    select file_id, tier, ((row_number() over (order by case tier when 'light' then 0 when 'standard' then 1 else 2 end, file_id) - 1) // 50)::bigint as batch from t""")
+def tier_batches(s, d):
+    t = latest(table(s, d, "parser_results").where("content is not null").select("file_id", _tier().alias("tier")), "file_id")
+    ordered = positions(t.withColumn("_t", F.when(F.col("tier") == "light", 0).when(F.col("tier") == "standard", 1).otherwise(2)), ["_t", "file_id"])
+    return ordered.select("file_id", "tier", F.floor(F.col("i") / 50).cast("bigint").alias("batch"))
+
+
+@query(f"""
+    with t as (select file_id, {_TIER_SQL} as tier from {_P} where content is not null)
+    select entity_id, name, lower(trim(entity_type)) as kind from {_E} where file_id in (select file_id from t where tier = 'light')""")
+def light_entities(s, d):
+    light = latest(table(s, d, "parser_results").where("content is not null").select("file_id", _tier().alias("tier")), "file_id").where("tier = 'light'")
+    e = latest(table(s, d, "entities").select("entity_id", "file_id", "name", F.lower(F.trim("entity_type")).alias("kind")), "entity_id")
+    return e.join(light.select("file_id"), "file_id", "left_semi").select("entity_id", "name", "kind")
+
+
+@query("""
+    with recursive p as (select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.label = y.label and x.vec_id < y.vec_id where list_cosine_similarity(x.embedding::double[], y.embedding::double[]) >= 0.32),
+    s as (select a, b from p union select b, a from p), h as (select a as id, a as c from s union select h.id, s.b from h join s on s.a = h.c),
+    k as (select id, min(c) as cluster from h group by id)
+    select cluster, count(*) as n from k group by cluster having count(*) >= 2""")
+def visual_clusters(s, d):
+    k = connected_components(G.pairwise_within(table(s, d, "embeddings"), "label", "vec_id", "embedding", 0.32))
+    return k.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+_MEMORY = f"(select entity_id as doc_id, concat_ws(' ', name, docstring, content) as text from {_E})"
+
+
+@query(_keyword_sql("idf * idf", "greatest(0, ln((n - df + 0.5) / (df + 0.5)))", 5).replace("from documents)", f"from {_MEMORY})"))
+def related_memory(s, d):
+    topics = table(s, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    # redelivered rows must not count twice, so these texts are told apart before they are searched
+    memory = latest(table(s, d, "entities").select(F.col("entity_id").alias("doc_id"), F.concat_ws(" ", "name", "docstring", "content").alias("text")), "doc_id")
+    return keyword_search(memory, topics, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
