@@ -11,9 +11,12 @@ the rest; with the share of cut texts at which the lower ends of both distributi
 one with the fewest errors. Languages with few samples have the bound of all texts together, which starts from BOUND.
 
 Only contexts at which some value ends are counted: a bitmap, sized by their number up to 16 MB, filters the scan, and the
-exact counts are summed by an aggregation on the context; a task's own table is passed on whenever it is full. Copies
-of a text end a context once. A context that many texts end with is one row of the model; the texts that look it up are
-spread by the adaptive skew join.
+exact counts are summed by an aggregation on the context; a task's own table is passed on whenever it is full. A context
+that many texts end with is one row of the model; the texts that look it up are spread by the adaptive skew join.
+
+Copies of a text count once, within texts as at their ends, so repeated tables give the same verdicts. A second bitmap,
+bounded like the first, tells texts that may have copies from those that have none: the latter are counted where they are
+read, only the former are shuffled, to be counted from one copy each.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ PRIOR_TEXTS = 2_000
 #: Log-odds are counted in steps of so much.
 STEP = 0.25
 _COUNT = schema_of("h bigint, ends bigint, goes bigint")
+_COPY = schema_of("t bigint, text string")
 #: Hashes of contexts are even; an odd one is the context at an end.
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 _BASE, _KIND_SEED = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xD6E8FEB86659FD93)
@@ -171,8 +175,8 @@ def end_contexts(text: str, tail_kind: int | None = None) -> list[int]:
     return out
 
 
-def _scan(bitmap, bits: int):
-    """Interior events of the wanted contexts, summed within the partition."""
+def _scan(bitmap, bits: int, copied=None):
+    """Interior events of the wanted contexts, summed within the partition; texts that `copied` may hold are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.frombuffer(bitmap.value, np.uint8)
@@ -225,6 +229,8 @@ def _scan(bitmap, bits: int):
         size = 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
+                if copied is not None and copied.value.holds(hash_text(t)):
+                    continue
                 t = tidy(t)
                 if not t:
                     continue
@@ -247,6 +253,29 @@ def _scan(bitmap, bits: int):
     return run
 
 
+class Copied:
+    """A bitmap of hashes of texts that have copies; some other texts hit it as well."""
+
+    def __init__(self, words: bytes, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    def holds(self, t: int) -> bool:
+        slot = t >> 63 - self.bits  # the upper bits of 63
+        return bool(self.words[slot >> 3] >> (slot & 7) & 1)
+
+
+def _copies(copied):
+    """(hash, text) of the texts that a bitmap may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, t) for t in batch.column(0).to_pylist() if copied.value.holds(h := hash_text(t))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), to_arrow_schema(_COPY))], schema=to_arrow_schema(_COPY))
+
+    return run
+
+
 def _bitmap(ends: DataFrame) -> tuple[bytes, int]:
     """The filter and the logarithm of its bits, assembled from its filled words; at most 2^MOST_BITS / 64 rows reach the driver."""
     n = ends.agg(F.approx_count_distinct("h")).first()[0] or 0
@@ -295,7 +324,7 @@ def truncation(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    share = min(1.0, SAMPLE / max(1, df.count()))
+    share = min(1.0, SAMPLE / max(1, df.select(F.xxhash64(text)).distinct().count()))
 
     def tails(k, t, g):
         t2 = tidy(t)
@@ -303,31 +332,46 @@ def truncation(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             return []
         g = (g or "").strip().lower() or None
         if not t2:
-            return [(k, None, g, False, False, False, [])]
+            return [(k, None, g, False, False, [])]
         h = hash_text(t)
         kind, fence = tail_state(t2)
-        out = [(k, h, g, fence or marked(t), False, False, end_contexts(t2, kind))]
+        hs, line = end_contexts(t2, kind), False
         if h % 1_000_003 < share * 1_000_003 and (c := cut_at(t2, h >> 20)) is not None:
-            out.append((k, h, g, False, True, c[1], end_contexts(c[0])))
-        return out
-
-    every = arrow_rows(df, [key, text, lang], f"{key} bigint, t bigint, g string, open boolean, trial boolean, line boolean, hs array<bigint>", tails).dropDuplicates([key, "trial"]).checkpoint()
-    rows = every.select(key, "t", "trial", "line", F.posexplode("hs").alias("o", "h"))
-    own = rows.groupBy("h").agg(F.countDistinct(F.when(~F.col("trial"), F.col("t"))).alias("own"))
+            line = c[1]
+            hs += end_contexts(c[0])
+        return [(k, h, g, fence or marked(t), line, hs)]
+
+    every = arrow_rows(df, [key, text, lang], f"{key} bigint, t bigint, g string, open boolean, line boolean, hs array<bigint>", tails).dropDuplicates([key]).checkpoint()
+    # different texts; the contexts at a text's own end come first, then those where it was cut on trial
+    texts = every.where("t is not null").select("t", "line", "hs").dropDuplicates(["t"]).checkpoint()
+    rows = texts.select("t", "line", F.posexplode("hs").alias("i", "h")).select("t", "line", (F.col("i") >= len(ORDERS)).alias("trial"), (F.col("i") % len(ORDERS)).alias("o"), "h")
+    own = rows.groupBy("h").agg(F.count(F.when(~F.col("trial"), 1)).alias("own"))
     filter_, bits = _bitmap(rows)
-    seen = df.where(F.col(text).isNotNull()).select(text).mapInArrow(_scan(spark.sparkContext.broadcast(filter_), bits), _COUNT).groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    wanted = spark.sparkContext.broadcast(filter_)
+    # texts without copies are counted where they are read, others from one copy
+    repeated = every.where("t is not null").groupBy("t").count().where("count > 1").select(F.shiftleft("t", 1).alias("h"))
+    copied = spark.sparkContext.broadcast(Copied(*_bitmap(repeated)))
+    read = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(text)
+    once = read.mapInArrow(_copies(copied), _COPY).dropDuplicates(["t"]).select("text")
+    events = read.mapInArrow(_scan(wanted, bits, copied), _COUNT).union(once.mapInArrow(_scan(wanted, bits), _COUNT))
+    seen = events.groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     model = own.join(seen, "h", "left").select("h", (F.coalesce("ends", F.lit(0)) + F.col("own")).alias("ends"), F.coalesce("goes", F.lit(0)).alias("goes"))
     # its own event left out: an end, or for a text cut by us, what followed
     ended = ~F.col("trial") | F.col("line")
     left = F.struct("o", F.greatest(F.col("ends") - ended.cast("bigint"), F.lit(0)).alias("ends"), F.greatest(F.col("goes") - (~ended).cast("bigint"), F.lit(0)).alias("goes"))
-    by = rows.join(model, "h").groupBy(key, "trial").agg(F.sort_array(F.collect_list(left)).alias("c"))
-    p = F.aggregate("c", F.lit(PRIOR), lambda acc, x: (x["ends"] + SMOOTH * acc) / (x["ends"] + x["goes"] + SMOOTH))
-    scored = by.select(key, "trial", p.alias("p")).select(key, "trial", (F.log(F.greatest("p", F.lit(1e-30))) - F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))).alias("log_odds"))
-    out = every.select(key, "t", "g", "open", "trial").join(scored, [key, "trial"], "left").checkpoint()
+    by = rows.join(model, "h").groupBy("t").agg(*(F.sort_array(F.collect_list(F.when(of, left))).alias(n) for n, of in (("log_odds", ~F.col("trial")), ("trial_odds", F.col("trial")))))
+
+    def odds(c: str) -> F.Column:
+        p = F.aggregate(c, F.lit(PRIOR), lambda acc, x: (x["ends"] + SMOOTH * acc) / (x["ends"] + x["goes"] + SMOOTH))
+        return F.when(F.size(c) > 0, F.log(F.greatest(p, F.lit(1e-30))) - F.log(F.greatest(1 - p, F.lit(1e-12))))
+
+    scored = by.select("t", odds("log_odds").alias("log_odds"), odds("trial_odds").alias("trial_odds"))
+    out = every.select(key, "t", "g", "open").join(scored, "t", "left").checkpoint()
 
     # copies count once; at most the languages with FEWEST samples times the steps reach the driver
-    step = F.least(F.lit(len(_EDGES) - 1), F.greatest(F.lit(0), F.ceil((F.col("log_odds") - float(_EDGES[0])) / STEP))).cast("int")
-    counts = out.where(~F.col("open") & F.col("log_odds").isNotNull()).groupBy("g", step.alias("step"), "trial").agg(F.countDistinct("t").alias("n"))
+    kinds = F.inline(F.array(*(F.struct(F.lit(x).alias("trial"), o.alias("odds")) for x, o in ((False, F.when(~F.col("open"), F.col("log_odds"))), (True, F.col("trial_odds"))))))
+    step = F.least(F.lit(len(_EDGES) - 1), F.greatest(F.lit(0), F.ceil((F.col("odds") - float(_EDGES[0])) / STEP))).cast("int")
+    counts = out.select("t", "g", "open", "log_odds", "trial_odds").dropDuplicates(["t", "g"]).select("g", kinds).where("odds is not null").groupBy("g", step.alias("step"), "trial").agg(F.count("*").alias("n"))
     enough = counts.where("trial").groupBy("g").agg(F.sum("n").alias("k")).where(F.col("k") >= FEWEST).select("g")
     pooled = counts.groupBy("step", "trial").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("g"), "step", "trial", "n")
     table: dict[str | None, np.ndarray] = {}
@@ -340,7 +384,7 @@ def truncation(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     limit = F.lit(default)
     for name, value in found_.items():
         limit = F.when(F.col("g") == name, F.lit(value)).otherwise(limit)
-    return out.where("not trial").select(key, "log_odds", F.coalesce(F.col("open") | (F.col("log_odds") < limit), F.lit(False)).alias("cut"))
+    return out.select(key, "log_odds", F.coalesce(F.col("open") | (F.col("log_odds") < limit), F.lit(False)).alias("cut"))
 
 
 def hash_text(t: str) -> int:

@@ -208,6 +208,27 @@ def test_truncation(spark):
     assert T.found(df.where("false")).count() == 0
 
 
+def test_truncation_of_repeated_tables(spark):
+    r = random.Random(11)
+    nouns = [f"{a}{b}" for a in ("map", "led", "cur", "tok", "gat") for b in ("ger", "sor", "eway", "ling", "ment")]
+    rows, cut = [], set()
+    for i in range(400):
+        text = " ".join(f"The {r.choice(nouns)} {r.choice(['stores', 'drops', 'splits'])} every {r.choice(nouns)} before the {r.choice(nouns)} ends." for _ in range(r.randrange(2, 8)))
+        if i % 10 == 0:
+            text = text[: r.randrange(30, len(text) - 25)]
+            while text[-1] in ". \n" or text.rstrip().endswith(tuple(nouns)):
+                text = text[:-1]
+            cut.add(i)
+        rows.append((i, text, "en"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    one = {r["doc_id"]: r for r in T.truncation(df).collect()}
+    many = T.truncation(df.crossJoin(spark.range(20)).select((F.col("doc_id") + 1000 * F.col("id")).alias("doc_id"), "text", "lang")).collect()
+    assert len(many) == 20 * len(rows) and all(x["cut"] == one[x["doc_id"] % 1000]["cut"] for x in many)
+    # contexts may reach into the text that a block has before: a few scores differ a little
+    assert np.mean([abs(x["log_odds"] - one[x["doc_id"] % 1000]["log_odds"]) for x in many]) < 0.01
+    assert sum(x["cut"] for x in many if x["doc_id"] % 1000 in cut) >= 0.95 * 20 * len(cut)
+
+
 def test_end_contexts_agree_with_the_scan():
     for text in ("The end of it.", "- a\n- bc", "x", "```\ncode 12\n```\nAb: cd"):
         _, hashes, last = T._context_hashes([text])
