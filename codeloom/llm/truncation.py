@@ -6,9 +6,9 @@ message ...) and the last n characters before a position; over all texts it is c
 and the probability of an end is smoothed from short to long contexts. A value whose log-odds of "ends here" against
 "goes on" lie under the bound of its language and column breaks off inside a word, a sentence or a line of code.
 
-The bounds are found without labels. A bounded sample of texts (`SAMPLE`) is cut at a place given by its hash, and scored like
+The bounds are found without labels. Every different text is cut on trial too, at a place given by its hash, and scored like
 the rest; with the share of cut texts at which the lower ends of both distributions agree, the bound of a language is the
-one with the fewest errors. Languages with few samples have the bound of all texts together, which starts from BOUND.
+one with the fewest errors. Languages of few texts have the bound of all texts together, which starts from BOUND.
 
 Only contexts at which some value ends are counted: a bitmap, sized by their number up to 16 MB, filters the scan, and the
 exact counts are summed by an aggregation on the context; a task's own table is passed on whenever it is full. A context
@@ -39,8 +39,8 @@ BLOCK_CHARS = 100_000
 #: Contexts a task holds before it passes its counts on.
 HELD = 400_000
 SMOOTH, PRIOR = 8.0, 0.05
-#: Log-odds under which a value counts as cut, until bounds are found; texts that are cut for that; the fewest of a language.
-BOUND, SAMPLE, FEWEST = -7.0, 3000, 150
+#: Log-odds under which a value counts as cut, until bounds are found; the fewest texts cut on trial for a bound of their language.
+BOUND, FEWEST = -7.0, 150
 #: Texts of all languages that stand beside those of a language when its bound is found.
 PRIOR_TEXTS = 2_000
 #: Log-odds are counted in steps of so much.
@@ -324,7 +324,6 @@ def truncation(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    share = min(1.0, SAMPLE / max(1, df.select(F.xxhash64(text)).distinct().count()))
 
     def tails(k, t, g):
         t2 = tidy(t)
@@ -336,7 +335,7 @@ def truncation(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         h = hash_text(t)
         kind, fence = tail_state(t2)
         hs, line = end_contexts(t2, kind), False
-        if h % 1_000_003 < share * 1_000_003 and (c := cut_at(t2, h >> 20)) is not None:
+        if (c := cut_at(t2, h >> 20)) is not None:
             line = c[1]
             hs += end_contexts(c[0])
         return [(k, h, g, fence or marked(t), line, hs)]
@@ -368,22 +367,26 @@ def truncation(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     scored = by.select("t", odds("log_odds").alias("log_odds"), odds("trial_odds").alias("trial_odds"))
     out = every.select(key, "t", "g", "open").join(scored, "t", "left").checkpoint()
 
-    # copies count once; at most the languages with FEWEST samples times the steps reach the driver
+    # copies count once; only the counts of all texts together reach the driver, at most two for each step
     kinds = F.inline(F.array(*(F.struct(F.lit(x).alias("trial"), o.alias("odds")) for x, o in ((False, F.when(~F.col("open"), F.col("log_odds"))), (True, F.col("trial_odds"))))))
     step = F.least(F.lit(len(_EDGES) - 1), F.greatest(F.lit(0), F.ceil((F.col("odds") - float(_EDGES[0])) / STEP))).cast("int")
     counts = out.select("t", "g", "open", "log_odds", "trial_odds").dropDuplicates(["t", "g"]).select("g", kinds).where("odds is not null").groupBy("g", step.alias("step"), "trial").agg(F.count("*").alias("n"))
     enough = counts.where("trial").groupBy("g").agg(F.sum("n").alias("k")).where(F.col("k") >= FEWEST).select("g")
-    pooled = counts.groupBy("step", "trial").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("g"), "step", "trial", "n")
-    table: dict[str | None, np.ndarray] = {}
-    for r in counts.join(enough, "g", "left_semi").select("g", "step", "trial", "n").union(pooled).collect():
-        table.setdefault(r["g"], np.zeros((2, len(_EDGES))))[int(r["trial"]), r["step"]] += r["n"]
-    default = best_bound(*table[None]) if None in table else BOUND
+    pooled = np.zeros((2, len(_EDGES)))
+    for r in counts.groupBy("step", "trial").agg(F.sum("n").alias("n")).collect():
+        pooled[int(r["trial"]), r["step"]] = r["n"]
+    default = best_bound(*pooled) if pooled.any() else BOUND
     # a language's counts are filled up with those of all texts, as many as PRIOR_TEXTS texts
-    fill = [x * PRIOR_TEXTS / max(1, x.sum()) for x in table.get(None, np.zeros((2, len(_EDGES))))]
-    found_ = {g: best_bound(*(x + y for x, y in zip(t, fill)), start=default) for g, t in table.items() if g is not None} | (bounds or {})
-    limit = F.lit(default)
-    for name, value in found_.items():
-        limit = F.when(F.col("g") == name, F.lit(value)).otherwise(limit)
+    fill = pooled * PRIOR_TEXTS / np.maximum(1, pooled.sum(axis=1, keepdims=True))
+
+    def bound(rows):
+        both = fill.copy()
+        np.add.at(both, (rows["trial"].to_numpy(dtype=np.int64), rows["step"].to_numpy(dtype=np.int64)), rows["n"].to_numpy())
+        return rows[["g"]].head(1).assign(bound=best_bound(*both, start=default))
+
+    found_ = counts.join(enough, "g", "left_semi").groupBy("g").applyInPandas(bound, "g string, bound double")
+    limit = F.coalesce(*(F.when(F.col("g") == name, F.lit(value)) for name, value in (bounds or {}).items()), F.col("bound"), F.lit(default))
+    out = out.join(found_, "g", "left")
     return out.select(key, "log_odds", F.coalesce(F.col("open") | (F.col("log_odds") < limit), F.lit(False)).alias("cut"))
 
 

@@ -229,6 +229,20 @@ def test_truncation_of_repeated_tables(spark):
     assert sum(x["cut"] for x in many if x["doc_id"] % 1000 in cut) >= 0.95 * 20 * len(cut)
 
 
+def test_every_text_is_cut_on_trial(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [f"The {r.choice(['mapper', 'cursor', 'ledger'])} {i} stores every {r.choice(['token', 'gateway', 'record'])} before run {r.randrange(9999)} ends." for i in range(5000)]
+    seen, best = [], T.best_bound
+    monkeypatch.setattr(T, "best_bound", lambda real, trial, start=T.BOUND: seen.append((real.sum(), trial.sum())) or best(real, trial, start))
+    T.truncation(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")).count()
+    assert seen[0] == (len(texts), sum(T.cut_at(t, T.hash_text(t) >> 20) is not None for t in texts))
+
+
+def test_bounds_set_by_hand(spark):
+    df = spark.createDataFrame([(i, "The ledger stores every token, and then it ends.", g) for i, g in enumerate(["en", " EN", "de", None])], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"]: r["cut"] for r in T.truncation(df, bounds={"en": 99.0, "de": -99.0}).collect()} == {0: True, 1: True, 2: False, 3: False}
+
+
 def test_end_contexts_agree_with_the_scan():
     for text in ("The end of it.", "- a\n- bc", "x", "```\ncode 12\n```\nAb: cd"):
         _, hashes, last = T._context_hashes([text])
