@@ -183,8 +183,8 @@ def _scan(bitmap, bits: int, copied=None):
         # a byte a bit while that is small; else the bits themselves
         flags = np.unpackbits(packed, bitorder="little") if bits <= 24 else None
         mask = (1 << np.arange(8)).astype(np.uint8)
-        # the filter goes by a hash's upper bits, which depend on all characters
-        shift = np.uint64(64 - bits)
+        # the filter goes by a hash's upper bits, which depend on all characters, and for hits by those below them
+        shift, below, low = np.uint64(64 - bits), np.uint64(64 - 2 * bits), np.uint64((1 << bits) - 1)
         events: list[np.ndarray] = []  # hashes of hits, odd where a unit ends
         counted: list[tuple[np.ndarray, np.ndarray]] = []  # different events with their counts
         held = 0
@@ -210,6 +210,10 @@ def _scan(bitmap, bits: int, copied=None):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], schema=to_arrow_schema(_COUNT))
             counted.clear()
 
+        def filled(slot: np.ndarray) -> np.ndarray:
+            slot = slot.astype(np.int32)
+            return flags[slot] if flags is not None else packed[slot >> 3] & mask[slot & 7]
+
         def block(texts: list[str]) -> None:
             nonlocal held
             points, hashes, last = _context_hashes(texts)
@@ -218,9 +222,8 @@ def _scan(bitmap, bits: int, copied=None):
             inside[last[last >= 0]] = False  # the texts' own ends are counted apart
             ends = (following == 10).astype(np.uint64)
             for x in hashes:
-                slot = (x >> shift).astype(np.int32)
-                wanted = flags[slot] if flags is not None else packed[slot >> 3] & mask[slot & 7]
-                at = np.flatnonzero((wanted != 0) & inside)
+                at = np.flatnonzero((filled(x >> shift) != 0) & inside)
+                at = at[filled((x[at] >> below) & low) != 0]
                 if len(at):
                     events.append(x[at] | ends[at])
                     held += len(at)
@@ -260,8 +263,8 @@ class Copied:
         self.words, self.bits = words, bits
 
     def holds(self, t: int) -> bool:
-        slot = t >> 63 - self.bits  # the upper bits of 63
-        return bool(self.words[slot >> 3] >> (slot & 7) & 1)
+        slots = t >> 63 - self.bits, (t >> 63 - 2 * self.bits) & (1 << self.bits) - 1  # of 63 bits
+        return all(self.words[x >> 3] >> (x & 7) & 1 for x in slots)
 
 
 def _copies(copied):
@@ -277,11 +280,11 @@ def _copies(copied):
 
 
 def _bitmap(ends: DataFrame) -> tuple[bytes, int]:
-    """The filter and the logarithm of its bits, assembled from its filled words; at most 2^MOST_BITS / 64 rows reach the driver."""
+    """The filter, with two bits for a hash, and the logarithm of its bits, assembled from its filled words; at most 2^MOST_BITS / 64 rows reach the driver."""
     n = ends.agg(F.approx_count_distinct("h")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    slot = F.expr(f"cast(shiftrightunsigned(h, {64 - bits}) as int)")
-    rows = ends.select(slot.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("m")).toPandas()
+    slots = F.expr(f"explode(array(cast(shiftrightunsigned(h, {64 - bits}) as int), cast(shiftrightunsigned(h, {64 - 2 * bits}) & {(1 << bits) - 1} as int)))")
+    rows = ends.select(slots.alias("s")).groupBy(F.expr("s div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("m")).toPandas()
     words = np.zeros((1 << bits) // 64, np.int64)
     words[rows["w"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64)
     return words.tobytes(), bits
